@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, line_dedup, simhash, token_records, url_filter, warc
+from . import decontaminate, exact_dedup, line_dedup, packing, quality, simhash, token_records, toxicity, url_filter, warc
 
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 
@@ -20,6 +20,11 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1(spark, sf_dir):
+    """Lengths are UTF-8 bytes, the ids of a byte-level vocabulary, plus an end mark."""
+    return packing.pack(_table(spark, sf_dir, "documents"), F.coalesce(F.octet_length("text"), F.lit(0)) + 1)
+
+
 def op2(spark, sf_dir):
     return simhash.simhash_dedup(_table(spark, sf_dir, "documents"))
 
@@ -32,6 +37,14 @@ def op4(spark, sf_dir):
     return token_records.token_records(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op5(spark, sf_dir):
+    return quality.quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op6(spark, sf_dir):
+    return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
 def op7(spark, sf_dir):
     return url_filter.filter_urls(_table(spark, sf_dir, "pages"), RULES)
 
@@ -51,9 +64,12 @@ def op10(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_best_fit_packing": op1,
     "op2_simhash_near_dedup": op2,
     "op3_warc_salvage": op3,
     "op4_token_records": op4,
+    "op5_quality_cotraining": op5,
+    "op6_toxicity_kneser_ney": op6,
     "op7_url_bloom_cascade": op7,
     "op8_benchmark_decontamination": op8,
     "op9_line_dedup": op9,
