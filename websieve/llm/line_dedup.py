@@ -3,7 +3,8 @@
 Only (line hash, document, position) rows of long lines are shuffled for counting. The hash is
 128 bits wide, as lines of a large corpus collide in 64. A line that a third of all documents
 hold is counted in two steps, first per (hash, document) and then per hash with partial sums.
-Joining the verdicts back is a sort-merge join whose hot side adaptive execution can split.
+The verdicts are a table of their own, so that joining them back is a sort-merge join between
+two plain shuffles, whose hot side adaptive execution can split.
 """
 
 from __future__ import annotations
@@ -47,10 +48,11 @@ def line_keys(d: DataFrame, min_chars: int) -> DataFrame:
 def doomed_lines(d: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
     """doc_id and the sorted positions that it loses."""
     keys = staged(line_keys(d, min_chars), "line-keys")
-    common = (
+    common = staged(
         keys.groupBy("key", "doc_id").agg(F.lit(1).alias("one"))
         .groupBy("key").agg(F.count("one").alias("docs"), F.max("doc_id").alias("keeper"))
-        .where(F.col("docs") >= min_docs).select("key", "keeper")
+        .where(F.col("docs") >= min_docs).select("key", "keeper"),
+        "common-lines",
     )
     lost = keys.join(common, "key").where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
     return lost.groupBy("doc_id").agg(F.sort_array(F.collect_list("pos")).alias("lost"))
