@@ -81,6 +81,15 @@ def partitions_for(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
 
+def thinned(rows: DataFrame, n: int) -> DataFrame:
+    """About n of the rows, all if there are fewer, for the driver: those with the least hash of
+    doc_id. The hash is compared with a bound, so no task sends more than its share. Rows are
+    in the hash's order, which doesn't depend on how the table is dealt out."""
+    share = min(1.0, n / max(1, rows.count()))
+    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
+    return rows.withColumn("_draw", draw).where(F.col("_draw") < int(share * (1 << 40))).orderBy("_draw", "doc_id").drop("_draw", "doc_id")
+
+
 def open_path(uri: str):
     """(file system, path) of a URI, on the driver or in a task."""
     return pa.fs.FileSystem.from_uri(uri)

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .decontaminate import words_of
 from .logistic import fit_logistic
-from .tables import keyed, map_batches, staged, text_bytes
+from .tables import keyed, map_batches, staged, text_bytes, thinned
 
 ORDER, DISCOUNT = 5, 0.75
 TOP_SLOTS, SLOTS = 1 << 21, 1 << 20
@@ -188,8 +188,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """doc_id, held_out, score, predicted, whole, worst for each row of docs.
 
     Rows fall into five folds by crc32 of the id as text. Fold 0 is held out: its labels are
-    never read. Fold 1 fits the curve, on at most ``fit_rows`` rows (the first by a hash of
-    the id); folds 2 to 4 are counted. Labels, language, source and id are no inputs.
+    never read. Fold 1 fits the curve, on about ``fit_rows`` rows at most (a hash of the
+    id picks them); folds 2 to 4 are counted. Labels, language, source and id are no inputs.
 
     Nulls: a null or empty text has no evidence and gets the curve's value there; a null label
     is none; of an id's several labels the largest counts; a null id has no label. If the
@@ -201,7 +201,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     known = known.groupBy("doc_id").agg(F.max("label").alias("label")).withColumn("fold", fold_of(F.col("doc_id"))).where("fold > 0")
     counted = staged(gram_counts(d.join(known.where("fold > 1").select("doc_id", "label"), "doc_id", "left")), "grams")
     found = staged(evidence(d, learn(counted), stretch), "evidence")
-    sample = found.join(known.where("fold = 1"), "doc_id").select("whole", "worst", "label", F.xxhash64("doc_id").alias("h")).orderBy("h", "whole", "worst").limit(fit_rows).toPandas()
+    sample = thinned(found.join(known.where("fold = 1"), "doc_id").select("doc_id", "whole", "worst", "label"), fit_rows).toPandas()
     x, y = sample[["whole", "worst"]].to_numpy(float), sample["label"].to_numpy(float)
     weights, bias = fit_logistic(x, y) if 0 < y.sum() < len(y) else (np.array([1.0, 2.0]), -3.0)
     z = F.lit(float(bias)) + F.col("whole") * float(weights[0]) + F.col("worst") * float(weights[1])
