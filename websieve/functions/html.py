@@ -194,7 +194,7 @@ def xpath_found(page: str, expression: str) -> bool:
     path = "." + path if path.startswith("/") else path
     try:
         found = tree(page).findall(path or ".//*")
-    except (SyntaxError, KeyError, ValueError, AssertionError):
+    except (SyntaxError, KeyError, TypeError, ValueError, AssertionError):
         return False
     return any(name in e.attrib for e in found) if name else bool(found)
 

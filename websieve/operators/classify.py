@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF, IDF, IndexToString, NGram, RegexTokenizer, StringIndexer
+from pyspark.ml.feature import IDF, HashingTF, IndexToString, NGram, RegexTokenizer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,32 +28,29 @@ def train(rows: DataFrame, text_col: str = "text", category: str = "category", *
 
     Categories are balanced first, to as many rows each as the smallest one has.
     """
-    rows = rows.select(F.col(text_col).alias("text"), F.col(category).alias("category")).where("text is not null and category is not null")
-    rows = balanced_sample(rows, "category", F.xxhash64("text", F.lit(seed)), per_category, minimum)
-    index = StringIndexer(inputCol="category", outputCol="label_index").fit(rows)
+    rows = rows.select(F.col(text_col).alias("_ml_text"), F.col(category).alias("_ml_category")).where("_ml_text is not null and _ml_category is not null")
+    rows = balanced_sample(rows, "_ml_category", F.xxhash64("_ml_text", F.lit(seed)), per_category, minimum)
+    index = StringIndexer(inputCol="_ml_category", outputCol="_ml_index").fit(rows)
     stages = [
         index,
-        RegexTokenizer(inputCol="text", outputCol="words", pattern=r"[^\p{L}\p{N}]+"),
-        NGram(n=2, inputCol="words", outputCol="pairs"),
-        HashingTF(inputCol="words", outputCol="word_counts", numFeatures=features),
-        HashingTF(inputCol="pairs", outputCol="pair_counts", numFeatures=features),
-        IDF(inputCol="word_counts", outputCol="word_weights"),
-        IDF(inputCol="pair_counts", outputCol="pair_weights"),
-    ]
-    from pyspark.ml.feature import VectorAssembler
-
-    stages += [
-        VectorAssembler(inputCols=["word_weights", "pair_weights"], outputCol="features"),
-        LogisticRegression(labelCol="label_index", family="multinomial", maxIter=30, regParam=0.01),
-        IndexToString(inputCol="prediction", outputCol="predicted_label", labels=index.labels),
-    ]
+        RegexTokenizer(inputCol="_ml_text", outputCol="_ml_words", pattern=r"[^\p{L}\p{N}]+"),
+        NGram(n=2, inputCol="_ml_words", outputCol="_ml_pairs"),
+        HashingTF(inputCol="_ml_words", outputCol="_ml_word_counts", numFeatures=features),
+        HashingTF(inputCol="_ml_pairs", outputCol="_ml_pair_counts", numFeatures=features),
+        IDF(inputCol="_ml_word_counts", outputCol="_ml_word_weights"),
+        IDF(inputCol="_ml_pair_counts", outputCol="_ml_pair_weights"),
+        VectorAssembler(inputCols=["_ml_word_weights", "_ml_pair_weights"], outputCol="_ml_features"),
+        LogisticRegression(
+            featuresCol="_ml_features", labelCol="_ml_index", predictionCol="_ml_prediction", probabilityCol="_ml_probability", rawPredictionCol="_ml_raw", family="multinomial", maxIter=30, regParam=0.01
+        ),
+        IndexToString(inputCol="_ml_prediction", outputCol="_ml_label", labels=index.labels),
+    ]
     model = Pipeline(stages=stages).fit(rows)
     return PipelineModel(model.stages[1:])
 
 
 def with_prediction(df: DataFrame, model: PipelineModel, out: str, text_col: str = "eval_text") -> DataFrame:
     """df with a column struct<label, confidence>, computed once however many filters use it."""
-    work = df.withColumn("text", F.coalesce(F.col(text_col), F.lit("")))
-    scored = model.transform(work).withColumn(out, F.struct(F.col("predicted_label").alias("label"), F.array_max(vector_to_array("probability")).alias("confidence")))
-    own = [c for c in df.columns if c != out]
-    return scored.select(*(F.col(f"`{c}`") if c != "text" else F.col("text") for c in own), out)
+    scored = model.transform(df.withColumn("_ml_text", F.coalesce(F.col(text_col), F.lit(""))))
+    answer = F.struct(F.col("_ml_label").alias("label"), F.array_max(vector_to_array("_ml_probability")).alias("confidence"))
+    return scored.select(*(c for c in df.columns if c != out), answer.alias(out))

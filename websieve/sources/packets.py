@@ -51,6 +51,7 @@ def resources_of(content: bytes, most: int = MAX_RESOURCES) -> Iterator[tuple]:
                         stack[-1].remove(e)
                     if pos >= most:
                         return
+        parser.close()
     except (ElementTree.ParseError, EOFError, zlib.error, OSError, ValueError) as error:
         yield pos, None, None, None, None, f"{type(error).__name__}: {error}"
 
