@@ -160,17 +160,17 @@ def rule_regex_column(pattern: Column) -> Column:
 def blocked_by_robots(links: DataFrame, rules: DataFrame, agent: str) -> DataFrame:
     """links with blocked_by_robots: a Disallow of the agent, or else of ``*``, fits.
 
-    The rules of a host meet in one row, a list bounded by its robots file, so links join
-    once by host however many rules there are.
+    The rules of a host meet in one expression, bounded by its robots file, so links join once
+    by host, and neighbouring links of a host share its compiled form.
     """
     mine = rules.where((F.col("directive") == "disallow") & F.col("agent").isin(agent.lower(), "*"))
     best = mine.groupBy("host").agg(F.max((F.col("agent") == agent.lower()).cast("int")).alias("_named"))
     used = mine.join(best, "host").where((F.col("agent") == agent.lower()).cast("int") == F.col("_named"))
-    lists = used.groupBy("host").agg(F.collect_set(rule_regex_column(F.col("pattern"))).alias("_rules")).withColumnRenamed("host", "_host")
+    lists = used.groupBy("host").agg(F.concat_ws("|", F.sort_array(F.collect_set(rule_regex_column(F.col("pattern"))))).alias("_rules")).withColumnRenamed("host", "_host")
     query = F.try_parse_url(F.col("target_uri"), F.lit("QUERY"))
     target = F.concat(F.coalesce(F.nullif(path(F.col("target_uri")), F.lit("")), F.lit("/")), F.coalesce(F.concat(F.lit("?"), query), F.lit("")))
     joined = links.withColumn("_host", host(F.col("target_uri"))).join(lists, "_host", "left").withColumn("_target", target)
-    hit = F.exists("_rules", lambda r: F.regexp_like(F.col("_target"), r))
+    hit = F.regexp_like(F.col("_target"), F.col("_rules"))
     return joined.withColumn("blocked_by_robots", F.coalesce(hit, F.lit(False))).drop("_host", "_rules", "_target")
 
 
