@@ -21,6 +21,8 @@ import os
 import re
 import struct
 import zlib
+from array import array
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +33,8 @@ from .tables import attempt_name, keyed, make_folder, map_batches, new_folder, o
 
 #: Fixed value: what the mask adds to a rotated checksum.
 MASK_DELTA = 0xA282EAD8
+#: Marks that the pre-tokenizer cuts off a word, and the last letter of long-settled Latin script.
+MARKS, LAST_LATIN = ".,;:!?", "\u024f"
 
 
 def masked(data: bytes) -> int:
@@ -67,52 +71,111 @@ def unpack(payload: bytes) -> tuple[int | None, np.ndarray]:
     return doc_id if known else None, np.frombuffer(payload, f"<u{width}", offset=10).astype("<u4")
 
 
+def _open_ended(piece: str) -> bool:
+    """Whether white space at an end could belong to a longer run in the text."""
+    return not piece or piece[0].isspace() or piece[-1].isspace()
+
+
 class Encoder:
-    """A byte-level BPE tokenizer with a bounded memory of words.
+    """A byte-level BPE tokenizer with a memory of pieces, emptied when it has grown too large.
 
     Its pre-tokenizer always cuts before a single space between two characters that aren't
     white space, so texts can be encoded piece by piece at such spaces and equal pieces have
-    equal ids. Pieces that aren't remembered are encoded by the library in one batch.
+    equal ids. It also keeps a space with the letters after it whole, and cuts before a mark
+    that follows them; so new words of Latin letters, with or without such a mark, can go to the
+    library in one string. All other new pieces go through it one by one.
     """
 
     SAFE = re.compile(r"(?<=\S) (?=\S)")
 
-    def __init__(self, path: str, remember: int = 500_000):
+    def __init__(self, path: str, remember: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.remember, self.memory, self.heads = remember, {}, {}
-
-    def _learn(self, pieces: list[str], memory: dict[str, bytes], lead: str) -> dict[str, bytes]:
-        new = [p for p in dict.fromkeys(pieces) if p not in memory]
-        found = dict(zip(new, (np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast([lead + p for p in new], add_special_tokens=False))))
-        room = self.remember - len(memory)
-        if room > 0:
-            memory.update((k, v) for k, v in found.items() if 0 < len(k) <= 64 and not (k[0].isspace() or k[-1].isspace()))
-        return found
+        space = self.tokenizer.encode(" ", add_special_tokens=False).tokens[0]
+        vocabulary = self.tokenizer.get_vocab()
+        self.starts = np.zeros(max(vocabulary.values()) + 1, bool)  # which ids begin with a space
+        self.starts[[i for t, i in vocabulary.items() if t.startswith(space)]] = True
+        self.marks = {m: self._ids([m])[0] for m in MARKS}
+        self.feed = self._ids(["\n"])[0]
+
+    def _ids(self, pieces: list[str]) -> list[bytes]:
+        encoded = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
+        return [array("I", e.ids).tobytes() for e in encoded]
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """The ids of words of letters, each after a space; one call for all of them.
+
+        Only the first id of such a word begins with a space, so the ids fall apart there.
+        """
+        ids = np.frombuffer(self._ids(["".join([" " + w for w in words])])[0], "<u4")
+        cut = [4 * k for k in np.flatnonzero(self.starts[ids]).tolist()] + [4 * len(ids)]
+        data = ids.tobytes()
+        return [data[a:b] for a, b in zip(cut, cut[1:])]
+
+    def _learn(self, pieces: set[str]) -> None:
+        """Remember the ids of pieces that follow a space."""
+        memory, words, marked, other = self.memory, [], [], []
+        for p in pieces:
+            w = p[:-1] if p[-1] in self.marks else p
+            if not (w.isalpha() and (w.isascii() or max(w) <= LAST_LATIN)):
+                other.append(p)
+            elif w is p:
+                words.append(p)
+            else:
+                marked.append(p)
+        words += {p[:-1] for p in marked}.difference(memory, words)
+        if words:
+            memory.update(zip(words, self._words(words)))
+        memory.update((p, memory[p[:-1]] + self.marks[p[-1]]) for p in marked)
+        if other:
+            memory.update(zip(other, self._ids([" " + p for p in other])))
+
+    def _unknown(self, cut: list[list[list[str]]]) -> set[str]:
+        new = set()
+        for lines in cut:
+            own = set()
+            for parts in lines:
+                own.update(parts)
+            new |= own.difference(self.memory)
+        return new
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The ids of each whole text as little-endian u32.
+
+        A line feed between two characters that aren't white space stands alone, so lines are
+        encoded on their own; a text with other neighbours of line feeds, or with double
+        spaces, is only cut where SAFE says.
+        """
+        if len(self.memory) + len(self.heads) > self.remember:
+            self.memory.clear()
+            self.heads.clear()
+        cut = [[line.split(" ") for line in t.split("\n")] if t else [] for t in texts]
+        new = self._unknown(cut)
+        bad, odd = set(filter(_open_ended, new)), {}
+        if bad:
+            odd = {k: self.SAFE.split(t) for k, (t, lines) in enumerate(zip(texts, cut)) if any(not bad.isdisjoint(parts) for parts in lines)}
+            for k, parts in odd.items():
+                cut[k] = [parts]
+            new = {p for p in self._unknown(cut) if not _open_ended(p)}
+        self._learn(new)
+        starts = list({parts[0] for lines in cut for parts in lines}.difference(self.heads))
+        self.heads.update(zip(starts, self._ids(starts)))
+        ends = list({p for parts in odd.values() for p in parts[1:] if _open_ended(p)})
+        loose = dict(zip(ends, self._ids([" " + p for p in ends])))
+        out, feed, heads, get = [], self.feed, self.heads, self.memory.__getitem__
+        for k, lines in enumerate(cut):
+            if k in odd:
+                out.append(heads[lines[0][0]] + b"".join([loose[p] if p in loose else get(p) for p in lines[0][1:]]))
+            else:
+                out.append(feed.join([heads[parts[0]] + b"".join(map(get, parts[1:])) for parts in lines]))
+        return out
 
     def encode(self, text: str) -> bytes:
-        """The ids of a whole text as little-endian u32."""
-        if not text:
-            return b""
-        parts = text.split(" ")
-        head = self.heads.get(parts[0])
-        try:
-            if head is not None:
-                return head + b"".join(map(self.memory.__getitem__, parts[1:]))
-        except KeyError:
-            pass
-        if any(not p or p[0].isspace() or p[-1].isspace() for p in parts if p not in self.memory):
-            parts = self.SAFE.split(text)
-        head = self.heads.get(parts[0])
-        if head is None:
-            head = self._learn(parts[:1], self.heads, "")[parts[0]]
-        rest = parts[1:]
-        new = self._learn(rest, self.memory, " ")
-        get = self.memory.get
-        return head + b"".join(new[p] if p in new else get(p) for p in rest)
+        return self.encode_all([text])[0]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -124,6 +187,21 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
+def encoded(batches, enc: Encoder, chunk: int = 1 << 18) -> Iterator[tuple[int | None, bytes]]:
+    """(id, ids) of each row, some texts at a time: enough for one call of the library to encode
+    many new words, and few enough for their pieces to stay in the processor's cache."""
+    for batch in batches:
+        keys, texts, held = [], [], 0
+        for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            keys.append(key)
+            texts.append(text or "")
+            held += len(texts[-1])
+            if held >= chunk:
+                yield from zip(keys, enc.encode_all(texts))
+                keys, texts, held = [], [], 0
+        yield from zip(keys, enc.encode_all(texts))
+
+
 MANIFEST = "part int, seq int, file string, records long, tokens long"
 
 
@@ -141,7 +219,7 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "d
     def run(batches):
         from pyspark import TaskContext
 
-        enc, part, seq, out, shards = encoder(tokenizer), TaskContext.get().partitionId(), 0, None, []
+        part, seq, out, shards = TaskContext.get().partitionId(), 0, None, []
 
         def close():
             rec, offsets, name, tokens, fs, path = out
@@ -150,20 +228,19 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "d
                 idx.write(np.array(offsets[:-1], "<u8").tobytes())
             shards.append((part, seq, name, len(offsets) - 1, tokens))
 
-        for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if out is None:
-                    name = f"{folder}/{attempt_name('ids')}-{seq:04d}"
-                    fs, path = open_path(name)
-                    out = [fs.open_output_stream(f"{path}.rec", buffer_size=1 << 20), [0], name, 0, fs, path]
-                ids = enc.encode(text or "") + tail
-                data = frame(pack(doc_id, np.frombuffer(ids, "<u4")))
-                out[0].write(data)
-                out[1].append(out[1][-1] + len(data))
-                out[3] += len(ids) // 4
-                if out[1][-1] >= shard_bytes:
-                    close()
-                    seq, out = seq + 1, None
+        for doc_id, ids in encoded(batches, encoder(tokenizer)):
+            if out is None:
+                name = f"{folder}/{attempt_name('ids')}-{seq:04d}"
+                fs, path = open_path(name)
+                out = [fs.open_output_stream(f"{path}.rec", buffer_size=1 << 20), [0], name, 0, fs, path]
+            ids += tail
+            data = frame(pack(doc_id, np.frombuffer(ids, "<u4")))
+            out[0].write(data)
+            out[1].append(out[1][-1] + len(data))
+            out[3] += len(ids) // 4
+            if out[1][-1] >= shard_bytes:
+                close()
+                seq, out = seq + 1, None
         if out is not None:
             close()
         if shards:
