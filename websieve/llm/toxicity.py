@@ -27,7 +27,7 @@ from .logistic import fit_logistic
 from .tables import keyed, map_batches, staged, text_bytes, thinned
 
 ORDER, DISCOUNT = 5, 0.75
-TOP_SLOTS, SLOTS = 1 << 21, 1 << 20
+TOP_SLOTS, MOST_SLOTS = 1 << 20, 1 << 19
 FLUSH = 400_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -50,7 +50,14 @@ def grams(buf: np.ndarray, at: np.ndarray, n: int, back: int = 0) -> np.ndarray:
     return key
 
 
+def slots_of(n: int) -> int:
+    """Slots for sequences of n bytes: one for each, as long as that is few enough."""
+    return min(MOST_SLOTS, 256**n)
+
+
 def slot(keys: np.ndarray, slots: int) -> np.ndarray:
+    if slots < MOST_SLOTS:
+        return keys.astype(np.int64)
     with np.errstate(over="ignore"):
         return ((keys ^ keys >> np.uint64(23)) * _MIX >> np.uint64(64 - (slots.bit_length() - 1))).astype(np.int64)
 
@@ -131,9 +138,9 @@ class KneserNey:
         p = np.full(len(at), 1 / 256)
         for m in range(1, ORDER):
             counts, totals = self.lower[m - 1]
-            c, t = counts["n"][slot(grams(buf, at, m), SLOTS)], slot(grams(buf, at, m - 1, 1), SLOTS)
+            c, t = counts["n"][slot(grams(buf, at, m), slots_of(m))], slot(grams(buf, at, m - 1, 1), slots_of(m - 1))
             p = mix(c, totals["n"][t], totals["kinds"][t], p)
-        c, t = slot(grams(buf, at, ORDER), TOP_SLOTS), slot(grams(buf, at, ORDER - 1, 1), SLOTS)
+        c, t = slot(grams(buf, at, ORDER), TOP_SLOTS), slot(grams(buf, at, ORDER - 1, 1), slots_of(ORDER - 1))
         logs = [np.log(mix(self.top[k][c], self.context[k][t], self.context[f"{k}_kinds"][t], p)) for k in ("toxic", "ordinary")]
         return np.bincount(owner, weights=logs[0] - logs[1], minlength=len(words)), np.bincount(owner, minlength=len(words)).astype(float)
 
@@ -150,12 +157,12 @@ def learn(counted: DataFrame) -> KneserNey:
     by = counted.groupBy(F.expr("shiftright(gram, 8)").alias("h")).agg(
         *(f(F.col(k)).alias(k + s) for k in ("toxic", "ordinary") for f, s in ((F.sum, ""), (lambda c: F.sum((c > 0).cast("long")), "_kinds")))
     )
-    context = _folded(by, "h", SLOTS, {c: F.col(c) for c in by.columns[1:]})
+    context = _folded(by, "h", slots_of(ORDER - 1), {c: F.col(c) for c in by.columns[1:]})
     lower, above = [], counted.select("gram")
     for m in range(ORDER - 1, 0, -1):
         g = staged(above.groupBy(F.col("gram").bitwiseAND(F.lit((1 << 8 * m) - 1)).alias("gram")).agg(F.count(F.lit(1)).alias("n")), "continuations")
         h = g.groupBy(F.expr("shiftright(gram, 8)").alias("h")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds"))
-        lower.append((_folded(g, "gram", SLOTS, {"n": F.col("n")}), _folded(h, "h", SLOTS, {"n": F.col("n"), "kinds": F.col("kinds")})))
+        lower.append((_folded(g, "gram", slots_of(m), {"n": F.col("n")}), _folded(h, "h", slots_of(m - 1), {"n": F.col("n"), "kinds": F.col("kinds")})))
         above = g
     return KneserNey(top, context, lower[::-1])
 
@@ -199,7 +206,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     d = keyed(docs, id_col, text_col)
     known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")).where("doc_id is not null and label in (0, 1)")
     known = known.groupBy("doc_id").agg(F.max("label").alias("label")).withColumn("fold", fold_of(F.col("doc_id"))).where("fold > 0")
-    counted = staged(gram_counts(d.join(known.where("fold > 1").select("doc_id", "label"), "doc_id", "left")), "grams")
+    learning = known.where("fold > 1").select("doc_id", "label").hint("merge")  # labels grow with the documents
+    counted = staged(gram_counts(d.join(learning, "doc_id", "left")), "grams")
     found = staged(evidence(d, learn(counted), stretch), "evidence")
     sample = thinned(found.join(known.where("fold = 1"), "doc_id").select("doc_id", "whole", "worst", "label"), fit_rows).toPandas()
     x, y = sample[["whole", "worst"]].to_numpy(float), sample["label"].to_numpy(float)
