@@ -306,6 +306,12 @@ def test_decide(spark):
     assert {r.id: r.reason for r in frontier.decide(df).collect()} == {1: None, 2: "priority", 3: "chunk", 4: "early", 5: "network", 6: "robots", 7: "malformed", 8: None}
 
 
+@pytest.mark.parametrize(("quota", "over"), [(0, [1, 2, 3]), (2, [3]), (3, []), (9, [])])
+def test_quota(spark, quota, over):
+    df = spark.createDataFrame([(i, f"http://a.org/{i}", False, 10 * i, 0) for i in (1, 2, 3)], "id int, target_uri string, can_be_discarded boolean, priority bigint, chunk_sequence int")
+    assert sorted(r.id for r in frontier.decide(df, quota_left=quota).where("reason = 'quota'").collect()) == over
+
+
 def test_visited(spark):
     now = F.lit("2024-01-01").cast("timestamp")
     links = spark.createDataFrame([("x",), ("y",), ("z",)], "target_hash string")

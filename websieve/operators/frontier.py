@@ -178,7 +178,8 @@ def decide(links: DataFrame, settings: Settings = Settings(), *, quota_left: int
     """status accepted or discarded, and the reason, by the first rule that fits.
 
     Expects the flags, priority, chunk_sequence, host_issues (null: none), ip_seen_recently
-    and blocked_by_robots; what is missing counts as false.
+    and blocked_by_robots; what is missing counts as false. With quota_left, links after that
+    many by priority and address are discarded; equal ones share a verdict.
     """
     flag = lambda c: F.coalesce(F.col(c), F.lit(False)) if c in links.columns else F.lit(False)
     loose = F.coalesce("can_be_discarded", F.lit(True))
@@ -194,8 +195,11 @@ def decide(links: DataFrame, settings: Settings = Settings(), *, quota_left: int
         .when(flag("blocked_by_robots"), "robots")
     )
     if quota_left is not None:
-        rank = F.row_number().over(Window.orderBy("priority", "target_uri"))
-        reason = F.when(rank > quota_left, "quota").otherwise(reason)
+        last = links.select("priority", "target_uri").orderBy("priority", "target_uri").offset(max(0, quota_left - 1)).limit(1).first()
+        over = F.lit(quota_left <= 0)
+        if last is not None and quota_left > 0:
+            over = (F.col("priority") > last.priority) | ((F.col("priority") == last.priority) & (F.col("target_uri") > last.target_uri))
+        reason = F.when(over, "quota").otherwise(reason)
     return links.withColumn("reason", reason).withColumn("status", F.when(F.col("reason").isNull(), "accepted").otherwise("discarded"))
 
 
