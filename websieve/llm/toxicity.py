@@ -11,8 +11,10 @@ most toxic stretch of ``stretch`` words. A logistic curve through these two, fit
 of the labelled rows that no count comes from, gives the score.
 
 Counting: each task counts its distinct words, cuts those into N-grams and sends distinct
-N-grams with partial sums, which grow with the input; Spark adds them up exactly. The model is
-then folded into tables of a fixed number of slots, so what is broadcast has a fixed size.
+N-grams with partial sums, which grow with the input; Spark adds them up exactly. The model
+holds these counts as they are, in arrays sorted by the exact N-gram: an entry for each 5-gram
+of the learning rows and each shorter sequence of the corpus. What is broadcast grows with the
+distinct sequences, 16 to 40 bytes for each.
 """
 
 from __future__ import annotations
@@ -27,9 +29,7 @@ from .logistic import fit_logistic
 from .tables import keyed, map_batches, staged, text_bytes, thinned
 
 ORDER, DISCOUNT = 5, 0.75
-TOP_SLOTS, MOST_SLOTS = 1 << 20, 1 << 19
 FLUSH = 400_000
-_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def positions(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -50,18 +50,6 @@ def grams(buf: np.ndarray, at: np.ndarray, n: int, back: int = 0) -> np.ndarray:
     return key
 
 
-def slots_of(n: int) -> int:
-    """Slots for sequences of n bytes: one for each, as long as that is few enough."""
-    return min(MOST_SLOTS, 256**n)
-
-
-def slot(keys: np.ndarray, slots: int) -> np.ndarray:
-    if slots < MOST_SLOTS:
-        return keys.astype(np.int64)
-    with np.errstate(over="ignore"):
-        return ((keys ^ keys >> np.uint64(23)) * _MIX >> np.uint64(64 - (slots.bit_length() - 1))).astype(np.int64)
-
-
 def index_words(texts, vocabulary: dict[bytes, int]) -> list[np.ndarray]:
     """Word numbers of each text; new words join the vocabulary."""
     out = []
@@ -105,29 +93,33 @@ def gram_counts(docs: DataFrame) -> DataFrame:
     return parts.groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
 
 
-def _folded(table: DataFrame, key: str, slots: int, columns: dict) -> dict[str, np.ndarray]:
-    """Sums of columns by slot; at most ``slots`` rows come to the driver."""
-    names = list(columns)
+class Counts:
+    """Exact counts by N-gram; 0 for one that isn't there."""
 
-    def run(batches):
-        for batch in batches:
-            keys = batch.column(0).to_numpy(zero_copy_only=False).astype(np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(slot(keys, slots)), *batch.columns[1:]], ["slot", *names])
-
-    kept = map_batches(table.select(key, *(c.cast("long").alias(n) for n, c in columns.items())), run, "slot long, " + ", ".join(f"{n} long" for n in columns))
-    rows = kept.groupBy("slot").agg(*(F.sum(n).alias(n) for n in columns)).toArrow()
-    at = rows.column("slot").to_numpy()
-    out = {}
-    for n in columns:
-        out[n] = np.zeros(slots, np.float32)
-        out[n][at] = rows.column(n).to_numpy()
-    return out
+    def __init__(self, keys: np.ndarray, columns: dict[str, np.ndarray]):
+        self.keys, self.columns = keys, columns
+
+    def find(self, keys: np.ndarray) -> dict[str, np.ndarray]:
+        if not len(self.keys):
+            return {n: np.zeros(len(keys)) for n in self.columns}
+        asked, back = np.unique(keys, return_inverse=True)
+        at = np.minimum(np.searchsorted(self.keys, asked), len(self.keys) - 1)
+        there = self.keys[at] == asked
+        return {n: np.where(there, c[at], 0.0)[back] for n, c in self.columns.items()}
+
+
+def _collected(table: DataFrame, key: str, columns: dict) -> Counts:
+    """The table's rows on the driver, sorted by key."""
+    rows = table.select(key, *(c.cast("double").alias(n) for n, c in columns.items())).toArrow()
+    keys = rows.column(key).to_numpy().astype(np.uint64)
+    order = np.argsort(keys)
+    return Counts(keys[order], {n: rows.column(n).to_numpy()[order] for n in columns})
 
 
 class KneserNey:
-    """Both classes' models in slots."""
+    """Both classes' models."""
 
-    def __init__(self, top: dict, context: dict, lower: list[tuple[dict, dict]]):
+    def __init__(self, top: Counts, context: Counts, lower: list[tuple[Counts, Counts]]):
         self.top, self.context, self.lower = top, context, lower
 
     def ratio(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -138,10 +130,10 @@ class KneserNey:
         p = np.full(len(at), 1 / 256)
         for m in range(1, ORDER):
             counts, totals = self.lower[m - 1]
-            c, t = counts["n"][slot(grams(buf, at, m), slots_of(m))], slot(grams(buf, at, m - 1, 1), slots_of(m - 1))
-            p = mix(c, totals["n"][t], totals["kinds"][t], p)
-        c, t = slot(grams(buf, at, ORDER), TOP_SLOTS), slot(grams(buf, at, ORDER - 1, 1), slots_of(ORDER - 1))
-        logs = [np.log(mix(self.top[k][c], self.context[k][t], self.context[f"{k}_kinds"][t], p)) for k in ("toxic", "ordinary")]
+            c, t = counts.find(grams(buf, at, m)), totals.find(grams(buf, at, m - 1, 1))
+            p = mix(c["n"], t["n"], t["kinds"], p)
+        c, t = self.top.find(grams(buf, at, ORDER)), self.context.find(grams(buf, at, ORDER - 1, 1))
+        logs = [np.log(mix(c[k], t[k], t[f"{k}_kinds"], p)) for k in ("toxic", "ordinary")]
         return np.bincount(owner, weights=logs[0] - logs[1], minlength=len(words)), np.bincount(owner, minlength=len(words)).astype(float)
 
 
@@ -152,17 +144,18 @@ def mix(count: np.ndarray, total: np.ndarray, kinds: np.ndarray, below: np.ndarr
 
 
 def learn(counted: DataFrame) -> KneserNey:
-    """Fold exact N-gram counts into a model; every lower order is counted from the one above."""
-    top = _folded(counted, "gram", TOP_SLOTS, {"toxic": F.col("toxic"), "ordinary": F.col("ordinary")})
-    by = counted.groupBy(F.expr("shiftright(gram, 8)").alias("h")).agg(
+    """A model of exact N-gram counts; every lower order is counted from the one above."""
+    seen = counted.where("toxic > 0 or ordinary > 0")
+    top = _collected(seen, "gram", {"toxic": F.col("toxic"), "ordinary": F.col("ordinary")})
+    by = seen.groupBy(F.expr("shiftright(gram, 8)").alias("h")).agg(
         *(f(F.col(k)).alias(k + s) for k in ("toxic", "ordinary") for f, s in ((F.sum, ""), (lambda c: F.sum((c > 0).cast("long")), "_kinds")))
     )
-    context = _folded(by, "h", slots_of(ORDER - 1), {c: F.col(c) for c in by.columns[1:]})
+    context = _collected(by, "h", {c: F.col(c) for c in by.columns[1:]})
     lower, above = [], counted.select("gram")
     for m in range(ORDER - 1, 0, -1):
         g = staged(above.groupBy(F.col("gram").bitwiseAND(F.lit((1 << 8 * m) - 1)).alias("gram")).agg(F.count(F.lit(1)).alias("n")), "continuations")
         h = g.groupBy(F.expr("shiftright(gram, 8)").alias("h")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds"))
-        lower.append((_folded(g, "gram", slots_of(m), {"n": F.col("n")}), _folded(h, "h", slots_of(m - 1), {"n": F.col("n"), "kinds": F.col("kinds")})))
+        lower.append((_collected(g, "gram", {"n": F.col("n")}), _collected(h, "h", {"n": F.col("n"), "kinds": F.col("kinds")})))
         above = g
     return KneserNey(top, context, lower[::-1])
 
