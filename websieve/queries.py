@@ -519,7 +519,7 @@ def robots(spark, sf_dir):
 @query()
 def ml_classify(spark, sf_dir):
     rows = table(spark, sf_dir, DOCS).select("doc_id", "text", F.col("lang").alias("category"))
-    model = classify.train(rows, features=1 << 12, per_category=100)
+    model = classify.train(rows)
     pages = document_pages(spark, sf_dir)
     return found(compile_query("ml-model(lang,0.5):fr ml-model(lang,any)::*", Context(models={"lang": model})).apply(pages), tags=True)
 
