@@ -240,6 +240,12 @@ def link_edges(spark, sf_dir):
     return links(spark, sf_dir).where("tag = 'a' and uri is not null").select(F.col("seq").alias("id"), "target_uri").where(F.col("target_uri").rlike("^[a-z]+://[^/]*/")).where("target_uri not like '%//%//%'")
 
 
+@query()
+def link_edges_all(spark, sf_dir):
+    """Every edge with its tag; link_edges has those that its SQL can see."""
+    return links(spark, sf_dir).where("uri is not null").select(F.col("seq").alias("id"), "tag", "target_uri")
+
+
 @query("""WITH e AS (SELECT event_id, CASE event_id % 7 WHEN 0 THEN '' WHEN 1 THEN 'The remote server returned an error: (404) Not Found.' WHEN 2 THEN 'System.TimeoutException: x'
             WHEN 3 THEN 'Site blocked, sorry' WHEN 4 THEN 'The remote name could not be resolved: a' WHEN 5 THEN 'x (503) y (404)' ELSE 'else' END AS t FROM events)
           SELECT event_id, CASE event_id % 7 WHEN 1 THEN 'HTTP404' WHEN 2 THEN 'Timeout' WHEN 3 THEN 'Blocked' WHEN 4 THEN 'DNSResolve' WHEN 5 THEN 'HTTP404' ELSE 'Unsure' END AS class FROM e""")
