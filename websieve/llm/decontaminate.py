@@ -13,21 +13,24 @@ that the corpus has least often. Steps:
 4. verify the whole window word by word and mark its words.
 
 A document is one row, so the join runs where the document is and shuffles nothing, however
-many documents share a passage. The benchmark side is broadcast in blocks of at most
-``block_words`` words; a larger benchmark means more blocks, applied one after another.
+many documents share a passage. The benchmark side comes in blocks of about ``block_words``
+words. One block at a time is read by the driver, broadcast and searched in a pass of its own;
+a pass adds to the hits of those before, which are staged with their document.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import keyed, map_batches, text_bytes
+from .tables import keyed, map_batches, staged, text_bytes
 
 #: Byte map: A-Z to lower case, each other ASCII byte that isn't a digit or letter to a space.
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -128,13 +131,21 @@ def known(ids: np.ndarray, r: np.ndarray, n: int) -> np.ndarray:
     return r
 
 
-def blocks_of(benchmark: DataFrame, window: int, shingle: int, block_words: int) -> list[Block]:
-    """The benchmark's items in blocks; only one block's share of rows is on the driver at once."""
+def blocks_of(benchmark: DataFrame, window: int, shingle: int, block_words: int) -> tuple[int, Callable[[int], Block]]:
+    """How many blocks the benchmark's items make, and what reads one of them to the driver."""
     b = benchmark.where("text2 is not null")
     total = b.agg(F.sum(F.size(F.split("text2", r"\s+")))).first()[0] or 0
     n = -(-total // block_words)
     part = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), "text2"), F.lit(max(1, n)))
-    return [Block([tuple(r) for r in b.where(part == k).collect()], window, shingle) for k in range(n)]
+    return n, lambda k: Block([tuple(r) for r in b.where(part == k).collect()], window, shingle)
+
+
+def sent(d: DataFrame, block: Block) -> Broadcast | None:
+    """The block, indexed, on the executors; the driver keeps no copy."""
+    if not block.windows:
+        return None
+    block.index(shingle_counts(d, block))
+    return d.sparkSession.sparkContext.broadcast(block)
 
 
 def shingle_counts(d: DataFrame, block: Block) -> dict[tuple[int, int], int]:
@@ -171,30 +182,46 @@ def decontaminate(
     """
     d = keyed(docs, id_col, text_col)
     items = benchmark.select(F.col(item_col).alias("doc_id"), F.col(item_text_col).alias("text2"))
-    blocks = [b for b in blocks_of(items, window, shingle, block_words) if b.windows]
-    for b in blocks:
-        b.index(shingle_counts(d, b))
+    n, block = blocks_of(items, window, shingle, block_words)
     kind = d.schema["doc_id"].dataType.simpleString()
-    shared = [d.sparkSession.sparkContext.broadcast(b) for b in blocks]
+    found_so_far = d
+    for k in range(n - 1):
+        shared = sent(d, block(k))
+        if shared:
+            found_so_far = staged(map_batches(found_so_far, searcher(shared, False), f"doc_id {kind}, text string, hits array<int>, items array<string>"), "hits")
+            shared.destroy()
+    last = sent(d, block(n - 1)) if n else None
+    return map_batches(found_so_far, searcher(last, True), f"doc_id {kind}, n_words long, n_hit long, hits array<int>, items array<string>, items_sha256 string, contaminated boolean")
+
+
+def searcher(shared: Broadcast | None, last: bool):
+    """Adds a block's hits to those of earlier passes (columns hits, items, if any); the last pass gives the result."""
 
     def run(batches):
         for batch in batches:
-            out = []
-            for text in text_bytes(batch.column(1)):
+            out, none = [], [[]] * batch.num_rows
+            hits, items = (batch.column(2).to_pylist(), batch.column(3).to_pylist()) if batch.num_columns > 2 else (none, none)
+            for text, old, names in zip(text_bytes(batch.column(1)), hits, items):
                 words = words_of(text)
-                hit, found = np.zeros(len(words) + 2, bool), set()
-                for s in shared:
-                    found |= s.value.search(words, hit[1:-1])
+                hit, found = np.zeros(len(words) + 2, bool), set(names)
+                for a, b in zip(old[::2], old[1::2]):
+                    hit[a + 1 : b + 1] = True
+                if shared:
+                    found |= shared.value.search(words, hit[1:-1])
                 names = sorted(found)
                 edges = np.flatnonzero(np.diff(hit.view(np.int8))).tolist()
                 out.append((len(words), int(hit.sum()), edges, names, hashlib.sha256(",".join(names).encode()).hexdigest()))
             cols = list(zip(*out)) or [()] * 5
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.list_(pa.int32())), pa.array(cols[3], pa.list_(pa.string())), pa.array(cols[4], pa.string()), pa.array([n > 0 for n in cols[1]], pa.bool_())],
-                ["doc_id", "n_words", "n_hit", "hits", "items", "items_sha256", "contaminated"],
-            )
-
-    return map_batches(d, run, f"doc_id {kind}, n_words long, n_hit long, hits array<int>, items array<string>, items_sha256 string, contaminated boolean")
+            spans, names = pa.array(cols[2], pa.list_(pa.int32())), pa.array(cols[3], pa.list_(pa.string()))
+            if last:
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), spans, names, pa.array(cols[4], pa.string()), pa.array([n > 0 for n in cols[1]], pa.bool_())],
+                    ["doc_id", "n_words", "n_hit", "hits", "items", "items_sha256", "contaminated"],
+                )
+            else:
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), spans, names], ["doc_id", "text", "hits", "items"])
+
+    return run
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
