@@ -1,7 +1,7 @@
 """Best-fit packing of sequences into bins of several permitted lengths.
 
 A bin of capacity c costs c plus a fixed overhead. Documents longer than the largest capacity
-are cut into pieces of that size, so nothing is dropped. Pieces go, by a hash, to groups of
+are cut into pieces of that size, so nothing is dropped. Pieces go, by a hash of id and piece (and row, where ids repeat), to groups of
 bounded size; each group is packed on its own, longest piece first, into the open bin that it
 leaves the least room in. Where no open bin has room, a bin is opened by a rule, and the rules
 compete: one prefers the size with the least cost per token that the group's remaining tokens
@@ -83,7 +83,13 @@ def pack(docs: DataFrame, length: Column, id_col: str = "doc_id", *, capacities:
     capacities = tuple(sorted(set(capacities)))
     p = staged(pieces_of(docs.select(F.col(id_col).alias("doc_id"), length.alias("n")), capacities[-1]), "pieces")
     groups = max(1, -(-p.count() // group_pieces))
-    p = p.withColumn("g", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)))
+    # Rows that repeat an id are told apart by the staged file and their place in it, which a task that runs again finds too.
+    p = p.select("*", F.xxhash64("_metadata.file_name", "_metadata.row_index").alias("row"))
+    again = p.groupBy(F.col("doc_id").alias("id2"), F.col("piece").alias("piece2")).agg(F.count(F.lit(1)).alias("times")).where("times > 1")
+    p = p.join(again, F.col("doc_id").eqNullSafe(F.col("id2")) & (F.col("piece") == F.col("piece2")), "left")
+    key = F.xxhash64("doc_id", "piece")
+    g = F.pmod(F.when(F.col("times").isNull(), key).otherwise(F.xxhash64("doc_id", "piece", "row")), F.lit(groups))
+    p = p.select("doc_id", "piece", "start", "length", g.alias("g"))
     kind = p.schema["doc_id"].dataType.simpleString()
 
     def run(table: pa.Table) -> pa.Table:
