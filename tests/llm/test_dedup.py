@@ -6,6 +6,7 @@ import hashlib
 import re
 from collections import defaultdict
 
+import numpy as np
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -15,7 +16,7 @@ from oracle import SF
 from websieve.llm.components import components
 from websieve.llm.exact_dedup import drop_copies, exact_dedup
 from websieve.llm.line_dedup import line_dedup
-from websieve.llm.simhash import drop_near_copies, fingerprint, segments, simhash_dedup
+from websieve.llm.simhash import drop_near_copies, fingerprint, links, segments, simhash_dedup
 
 EDGES = [(1, None), (2, ""), (3, "a b"), (4, "a \t\n b"), (5, "a b"), (6, "a b"), (7, "z" * 50_000), (8, "A b"), (9, " a b")]
 
@@ -128,21 +129,61 @@ def test_simhash_on_documents(spark):
 
 
 @pytest.mark.parametrize("radius", [0, 1, 2, 3, 4, 5])
-def test_segments_cover_all_bits(radius):
-    s = segments(radius)
-    assert len(s) == radius // 2 + 1 and sum(n for _, n in s) == 64 and s[0][0] == 0
-
-
-def test_links_are_complete(spark):
-    """All pairs of a dense ball of fingerprints, each once."""
-    from websieve.llm.simhash import links
-
+def test_segments_cover_open_bits(radius):
+    for mask in (0, 0xFF, 0x0F0F << 20):
+        s = segments(mask, radius)
+        assert len(s) == radius // 2 + 1 and sum(s) == mask ^ (1 << 64) - 1 and max(map(int.bit_count, s)) - min(map(int.bit_count, s)) <= 1
+
+
+signed = lambda x: x - (1 << 64) if x >> 63 else x
+
+
+def found_links(spark, fps, radius=4, **kw):
+    """(links of each fingerprint, the least fingerprint reachable), from the table of links."""
+    table = links(spark.createDataFrame([(signed(f),) for f in fps], "fp long").repartition(3), radius, **kw)
+    counts, near = defaultdict(int), defaultdict(set)
+    for r in table.collect():
+        counts[r.fp % 2**64] += r.n
+        near[r.fp % 2**64].add(r.root % 2**64)
+        near[r.root % 2**64].add(r.fp % 2**64)
+    root = {}
+    for f in sorted(fps):
+        todo = [] if f in root else [f]
+        while todo:
+            x = todo.pop()
+            if x not in root:
+                root[x] = f
+                todo += near[x]
+    return counts, root
+
+
+@pytest.mark.parametrize(("radius", "bucket", "apart"), [(4, 1 << 14, 5), (4, 40, 30), (3, 20, 40), (5, 90, 40)])
+def test_links_are_complete(spark, radius, bucket, apart):
+    """A dense ball of fingerprints; small buckets pass their members on to further levels."""
     base = 0x9123456789ABCDEF
-    fps = {base} | {base ^ 1 << a ^ 1 << b for a in range(0, 64, 5) for b in range(64)} | {base ^ 0b1111, base ^ 0b11111, base ^ 7 << 40}
-    signed = lambda x: x - (1 << 64) if x >> 63 else x
-    got = [(r.a, r.b) for r in links(spark.createDataFrame([(signed(f),) for f in fps], "fp long"), 4).collect()]
-    want = {tuple(sorted((signed(a), signed(b)))) for a in fps for b in fps if a < b and (a ^ b).bit_count() <= 4}
-    assert len(got) == len(set(got)) and set(got) == want
+    fps = {base} | {base ^ 1 << a ^ 1 << b for a in range(0, 64, apart) for b in range(64)} | {base ^ 0b1111, base ^ 0b11111, base ^ 7 << 40}
+    fps = sorted(fps | {f ^ 0xFFFF << 30 for f in list(fps)[::7]})
+    counts, root = found_links(spark, fps, radius, bucket=bucket)
+    assert {f: counts[f] for f in fps} == {f: sum(0 < (f ^ g).bit_count() <= radius for g in fps) for f in fps}
+    assert root == brute_components({f: f for f in fps}, radius)
+
+
+def test_large_group_of_near_copies(spark, docs):
+    """20,000 copies of a text with a word changed: no more links than signatures, components as by all pairs."""
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join([*words[: i % 60], f"own{i}", *words[i % 60 + 1 :]])) for i in range(20_000)]
+    d = docs(rows).repartition(4)
+    got = {r.doc_id: (int(r.fingerprint, 16), r.component_id, r.n_links) for r in simhash_dedup(d).collect()}
+    fps, inverse = np.unique(np.array([got[i][0] for i, _ in rows], np.uint64), return_inverse=True)
+    assert len(fps) > 15_000
+    label, n_links = np.arange(len(fps)), np.zeros(len(fps), int)
+    for k in range(len(fps)):
+        near = np.flatnonzero(np.bitwise_count(fps ^ fps[k]) <= 4)
+        n_links[k] = len(near) - 1
+        label[np.isin(label, label[near])] = label[near].min()
+    least = np.full(len(fps), len(rows))
+    np.minimum.at(least, label[inverse], np.arange(len(rows)))
+    assert {i: (c, n) for i, (_, c, n) in got.items()} == {i: (least[label[k]], n_links[k]) for i, k in enumerate(inverse)}
 
 
 def test_components(spark):

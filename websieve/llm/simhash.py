@@ -3,28 +3,38 @@
 Two fingerprints within k bits, cut into k // 2 + 1 segments, have a segment in which they
 differ by at most one bit. So each distinct fingerprint is indexed, for each segment, under
 the variants of that segment with one bit made a wildcard; fingerprints that share a variant
-are joined by equality and verified. A pair is accepted only under its first such segment and
-at the differing bit (the segment's lowest bit if there is none), so each link appears once.
+meet in a bucket by equality and are verified there. A pair is accepted only under its first
+such segment and at the differing bit (the segment's lowest bit if there is none), so each
+link is found once.
 
 Copies are merged into one row per fingerprint, with partial minima, before anything is
-joined: however many documents share a fingerprint, it is indexed once. Near copies of one
-text differ in its few undecided bits, which bounds their distinct fingerprints too.
+indexed. A bucket's links never leave its task as pairs: a fingerprint comes out once per
+bucket, with the least fingerprint that the bucket's links lead to and the number of its
+links, so the result is at most a row per signature however dense a group of near copies is.
+A bucket of more than ``bucket`` members is passed on, and its members are indexed again under
+variants of the bits that the bucket leaves open, which loses no pair. Each of at most
+``levels`` levels fixes about a third of them; the last leaves 2^22 members possible.
 """
 
 from __future__ import annotations
 
+from functools import lru_cache
 from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
 from .tables import keyed, map_batches, staged, text_bytes
 
 BITS, SEED, CHUNK = 64, 42, 1 << 16
+#: Members of a bucket up to which its rows are compared by their distance in the sorted order;
+#: pairs that are held at once beyond that.
+SMALL, HELD = 16, 1 << 20
+FOUND = "fp long, root long, n long, path long"
 
 
 def fingerprint(text: bytes, shingle: int) -> int:
@@ -58,35 +68,168 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return map_batches(d, run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, fp long")
 
 
-def _long(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
+def segments(closed: int, radius: int) -> list[int]:
+    """The bits outside closed as radius // 2 + 1 masks of neighbours, as even as possible."""
+    n, free = radius // 2 + 1, [b for b in range(BITS) if not closed >> b & 1]
+    edges = [len(free) * k // n for k in range(n + 1)]
+    return [sum(1 << b for b in free[a:b]) for a, b in zip(edges, edges[1:])]
 
 
-def segments(radius: int) -> list[tuple[int, int]]:
-    """(first bit, bits) of each of radius // 2 + 1 segments, as even as possible."""
-    n = radius // 2 + 1
-    edges = [BITS * k // n for k in range(n + 1)]
-    return [(a, b - a) for a, b in zip(edges, edges[1:])]
+@lru_cache
+def paths(level: int, radius: int) -> dict[int, tuple[int, int, tuple]]:
+    """Name of a bucket's path -> (bits it fixes, bits of the segments cut so far, its steps).
 
-
-def _first_match(x: Column, radius: int) -> Column:
-    """The wildcard bit (as a long) under which the pair with difference x is accepted."""
-    out = None
-    for first, bits in reversed(segments(radius)):
-        part = x.bitwiseAND(F.lit(_long(((1 << bits) - 1) << first)))
-        here = F.when(part == 0, F.lit(_long(1 << first))).otherwise(part)
-        out = here if out is None else F.when(F.bit_count(part) <= 1, here).otherwise(out)
+    The closed bits are the fixed ones and one wildcard for each level, whose numbers are the
+    path's name; the next level cuts the others. A step holds the bits fixed before it, its
+    segments, and the bits fixed after it.
+    """
+    if level < 0:
+        return {0: (0, 0, ())}
+    out = {}
+    for name, (fixed, closed, steps) in paths(level - 1, radius).items():
+        parts = segments(closed, radius)
+        for s in parts:
+            for b in range(BITS):
+                if s >> b & 1:
+                    out[name * BITS + b] = fixed | s ^ 1 << b, closed | s, (*steps, (fixed, *parts, fixed | s ^ 1 << b))
     return out
 
 
-def links(distinct: DataFrame, radius: int) -> DataFrame:
-    """Pairs a < b of distinct fingerprints (column fp) within radius bits, each once."""
-    variants = [(_long((((1 << bits) - 1) << first) & ~(1 << b)), _long(1 << b)) for first, bits in segments(radius) for b in range(first, first + bits)]
-    table = F.array(*(F.struct(F.lit(m).alias("mask"), F.lit(w).alias("bit")) for m, w in variants))
-    v = distinct.select("fp", F.explode(table).alias("x")).select("fp", F.col("x.bit").alias("bit"), F.col("fp").bitwiseAND(F.col("x.mask")).alias("part"))
-    a, b = v.withColumnRenamed("fp", "a"), v.withColumnRenamed("fp", "b")
-    diff = F.col("a").bitwiseXOR(F.col("b"))
-    return a.join(b, ["bit", "part"]).where((F.col("a") < F.col("b")) & (F.bit_count(diff) <= radius) & (_first_match(diff, radius) == F.col("bit"))).select("a", "b")
+@lru_cache
+def path_table(level: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """The paths of a level, rising, and their steps: [level, part of the step, path]."""
+    known = paths(level, radius)
+    names = sorted(known)
+    return np.array(names), np.array([known[k][2] for k in names], np.uint64).transpose(1, 2, 0).copy()
+
+
+@lru_cache
+def variants(path: int, level: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """(paths, bits they fix) of a level below a path of the level before."""
+    fixed, closed, _ = paths(level - 1, radius)[path]
+    own = [(path * BITS + b, fixed | s ^ 1 << b) for s in segments(closed, radius) for b in range(BITS) if s >> b & 1]
+    return np.array([k for k, _ in own]), np.array([m for _, m in own], np.uint64)
+
+
+def accepts(x: np.ndarray, path: np.ndarray, level: int, radius: int) -> np.ndarray:
+    """Which pairs with difference x a bucket of that path accepts; one bucket of a level does."""
+    names, table = path_table(level, radius)
+    at, ok = np.searchsorted(names, path), np.ones(len(x), bool)
+    for before, *parts, after in table:
+        chosen, open_ = np.zeros(len(x), np.uint64), np.ones(len(x), bool)
+        for s in parts:
+            s = s[at]
+            part = x & s
+            here = open_ & (np.bitwise_count(part) <= 1)
+            bit = np.where(part == 0, s & (~s + np.uint64(1)), part)
+            chosen = np.where(here, (before[at] | s) ^ bit, chosen)
+            open_ &= ~here
+        ok &= chosen == after[at]
+    return ok
+
+
+def join_labels(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+    """Merge the sets of i and j; label is each place's least place, before and after."""
+    while True:
+        a, b = label[i], label[j]
+        if (a == b).all():
+            return
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while (label[label] != label).any():
+            label[:] = label[label]
+
+
+def linked(fp: np.ndarray, path: np.ndarray, start: np.ndarray, level: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """(least place linked to, links) of each place; buckets begin at ``start``, the last is an end."""
+    label, links = np.arange(len(fp)), np.zeros(len(fp), np.int64)
+    size = np.diff(start)
+    left = np.repeat(start[1:], size) - np.arange(len(fp)) - 1  # members of its bucket after each place
+
+    def accepted(i, j):
+        x = fp[i] ^ fp[j]
+        near = np.flatnonzero(np.bitwise_count(x) <= radius)
+        own = near[accepts(x[near], path[i[near]], level, radius)]
+        for k in (i[own], j[own]):
+            np.add.at(links, k, 1)
+        return i[own], j[own]
+
+    some = np.flatnonzero(np.repeat((size > 1) & (size <= SMALL), size))
+    for step in range(1, SMALL):
+        some = some[left[some] >= step]
+        join_labels(label, *accepted(some, some + step))
+    for a, b in zip(*(e[size > SMALL].tolist() for e in (start[:-1], start[1:]))):
+        own, rows = np.arange(b - a), max(1, HELD // (b - a))
+        for k in range(a, b, rows):
+            near = np.bitwise_count(fp[k : min(b, k + rows), None] ^ fp[None, k:b]) <= radius
+            i, j = accepted(*(p + k for p in np.nonzero(np.triu(near, 1))))
+            join_labels(own, i - a, j - a)
+        label[a:b] = own + a
+    return label, links
+
+
+def index(members: DataFrame, level: int, radius: int, bucket: float) -> DataFrame:
+    """One level: FOUND rows (fp, root, n) for links, (fp, path) for members of buckets passed on."""
+
+    def spread(batches):
+        for batch in batches:
+            fp, path = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            for p in np.unique(path).tolist():
+                own, (names, fixed) = fp[path == p], variants(p, level, radius)
+                for k in range(0, len(own), 1024):
+                    some = own[k : k + 1024]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in (np.repeat(some, len(names)), np.tile(fixed.view(np.int64), len(some)), np.tile(names, len(some)))], ["fp", "mask", "path"])
+
+    def verify(batches):
+        fp, path, part = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint64)  # of the last bucket, whose end hasn't come yet
+        passing = None  # its key, if it has turned out too large and its members so far have gone out
+        for batch in batches:
+            f, m, p = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+            f = f.view(np.uint64)
+            fp, path, part = (np.concatenate(c) for c in ((fp, f), (path, p), (part, f & m.view(np.uint64))))
+            if not len(fp):
+                continue
+            start = np.concatenate(([0], np.flatnonzero((part[1:] != part[:-1]) | (path[1:] != path[:-1])) + 1, [len(fp)]))
+            big = np.diff(start) > bucket
+            big[0] |= passing == (int(part[0]), int(path[0]))
+            passing = (int(part[-1]), int(path[-1])) if big[-1] else None
+            done = len(big) if big[-1] else len(big) - 1
+            yield from emit(fp, path, start[: done + 1], big[:done])
+            fp, path, part = (c[start[done] :] for c in (fp, path, part))
+        if len(fp):
+            yield from emit(fp, path, np.array([0, len(fp)]), np.array([False]))
+
+    def emit(fp, path, start, big):
+        size = np.diff(start)
+        out = np.flatnonzero(np.repeat(big, size))
+        if len(out):
+            empty = pa.nulls(len(out), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(fp[out].view(np.int64)), empty, empty, pa.array(path[out])], ["fp", "root", "n", "path"])
+        own = np.flatnonzero(np.repeat(~big, size))
+        f = fp[own]
+        label, n = linked(f, path[own], np.append(0, np.cumsum(size[~big])), level, radius)
+        got = np.flatnonzero(n)
+        if len(got):
+            cols = [pa.array(c) for c in (f[got].view(np.int64), f[label[got]].view(np.int64), n[got])]
+            yield pa.RecordBatch.from_arrays([*cols, pa.nulls(len(got), pa.int64())], ["fp", "root", "n", "path"])
+
+    part = F.col("fp").bitwiseAND(F.col("mask"))
+    dealt = map_batches(members, spread, "fp long, mask long, path long").repartition(part, F.col("path"))
+    return staged(map_batches(dealt.sortWithinPartitions(part, "path", "fp"), verify, FOUND), "links")
+
+
+def links(distinct: DataFrame, radius: int, *, bucket: int = 1 << 14, levels: int = 3) -> DataFrame:
+    """fp, root, n: for each bucket in which a distinct fingerprint has n links, a fingerprint that they lead to."""
+    members, found = distinct.select("fp", F.lit(0).cast("long").alias("path")), []
+    for level in range(levels):
+        table = index(members, level, radius, bucket if level + 1 < levels else float("inf"))
+        found.append(table.where("path is null").select("fp", "root", "n"))
+        members = table.where("path is not null").select("fp", "path")
+        if members.isEmpty():
+            break
+    out = found[0]
+    for f in found[1:]:
+        out = out.union(f)
+    return out
 
 
 def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 4, radius: int = 4) -> DataFrame:
@@ -102,12 +245,12 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     d = staged(fingerprints(docs, id_col, text_col, shingle=shingle), "fingerprints")
     distinct = staged(d.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    pairs = staged(links(distinct, radius), "links")
-    roots = components(pairs).select(F.col("node").alias("fp"), "root")
-    ends = pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))).groupBy("fp").agg(F.count(F.lit(1)).alias("n_links"))
-    linked = distinct.join(roots, "fp").join(ends, "fp")
-    least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = staged(linked.join(least, "root").select("fp", "component_id", "n_links"), "components")
+    found = links(distinct, radius)
+    roots = components(found.select(F.col("fp").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("fp"), "root")
+    ends = found.groupBy("fp").agg(F.sum("n").alias("n_links"))
+    linked_ = distinct.join(roots, "fp").join(ends, "fp")
+    least = linked_.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = staged(linked_.join(least, "root").select("fp", "component_id", "n_links"), "components")
     classes = distinct.join(named, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     return d.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_links")
 
