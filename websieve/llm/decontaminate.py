@@ -224,7 +224,36 @@ def searcher(shared: Broadcast | None, last: bool):
     return run
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
-    """docs without the contaminated rows."""
-    bad = decontaminate(docs, benchmark, id_col, text_col, **kw).where("contaminated").select(F.col("doc_id").alias(id_col))
-    return docs.join(bad, id_col, "left_anti")
+def drop_contaminated(
+    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
+    *, window: int = 10, shingle: int = 5, block_words: int = 2_000_000,
+) -> DataFrame:
+    """docs without the contaminated rows, as ``decontaminate`` describes them.
+
+    Each row is judged where it is, by its own text: nothing is joined, and repeated or null
+    ids change nothing. A null text has no words and stays; without benchmark items all rows
+    stay; an empty table stays empty.
+    """
+    items = benchmark.select(F.col(item_col).alias("doc_id"), F.col(item_text_col).alias("text2"))
+    n, block = blocks_of(items, window, shingle, block_words)
+    at = docs.columns.index(text_col)
+    for k in range(n):
+        shared = sent(keyed(docs, id_col, text_col), block(k))
+        if shared:
+            docs = map_batches(docs, cleaner(shared, at), docs.schema)
+            if k < n - 1:
+                docs = staged(docs, "clean")
+                shared.destroy()
+    return docs
+
+
+def cleaner(shared: Broadcast, at: int):
+    """Passes on the rows whose text, column ``at``, holds no window of the block."""
+
+    def run(batches):
+        for batch in batches:
+            words = map(words_of, text_bytes(batch.column(at)))
+            clean = [not shared.value.search(w, np.zeros(len(w), bool)) for w in words]
+            yield batch.filter(pa.array(clean, pa.bool_()))
+
+    return run

@@ -5,17 +5,16 @@
 2. A Misra-Gries style frequent-items sketch (``approx_top_k``) proposes at most ``winners``
    digests. An exact count over the stage table, combined before its shuffle, verifies them.
 3. Verified winners, at most ``winners`` rows whatever the input, are broadcast, and their
-   copies are decided map-side. All other digests have fewer than about rows/``winners``
-   copies each, so an ordinary shuffle by digest has no hot task.
+   copies are decided map-side. The other digests are counted with partial sums before an
+   ordinary shuffle; only groups of several rows are joined back.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .tables import keyed, staged
+from .tables import fresh_name, keyed, one_of_each, staged
 
 SPACE_RUN = "[\\x20\\x09-\\x0D]+"
 
@@ -45,15 +44,25 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         "winners",
     ))
     heavy = d.join(top, "text_sha256")
-    same = Window.partitionBy("text_sha256")
-    rest = d.join(top, "text_sha256", "left_anti").select(
-        "*", F.min("doc_id").over(same).alias("keep_id"), F.count(F.lit(1)).over(same).alias("group_size")
-    )
+    rest = d.join(top, "text_sha256", "left_anti")
+    groups = rest.groupBy("text_sha256").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")).where("group_size > 1")
+    rest = rest.join(groups, "text_sha256", "left").withColumns({"keep_id": F.coalesce("keep_id", "doc_id"), "group_size": F.coalesce("group_size", F.lit(1))})
     cols = ("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
     return heavy.select(*cols).unionByName(rest.select(*cols))
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
-    """docs without the rows whose text a row with a smaller id has. Only dropped ids are joined."""
-    gone = exact_dedup(docs, id_col, text_col, **kw).where(~F.col("kept")).select(F.col("doc_id").alias(id_col))
-    return docs.join(gone, id_col, "left_anti")
+    """docs with one row of each group of equal texts, the one with the smallest id.
+
+    Nulls: a null text is empty; a null id is larger than any other. Ties: of rows that repeat
+    an id and its text one stays; rows that repeat an id with other texts are judged apart. An
+    empty table stays empty. Only digests and ids of groups are joined with the rows.
+    """
+    digest = fresh_name(docs, "text_sha256")
+    groups = staged(exact_dedup(docs, id_col, text_col, **kw).where("group_size > 1"), "groups")
+    rows = docs.withColumn(digest, F.sha2(normalised(F.col(text_col)).cast("binary"), 256))
+    names = fresh_name(rows, "gone_digest"), fresh_name(rows, "gone_id")
+    gone = groups.where("not kept").select("text_sha256", "doc_id").distinct().toDF(*names)
+    rows = rows.join(gone, (F.col(digest) == F.col(names[0])) & F.col(id_col).eqNullSafe(F.col(names[1])), "left_anti")
+    again = groups.where("kept").groupBy("text_sha256").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("text_sha256")
+    return one_of_each(rows, digest, again).select(*docs.columns)

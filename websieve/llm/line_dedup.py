@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import keyed, map_batches, staged, text_bytes
+from .tables import keyed, left_join, map_batches, staged, text_bytes
 
 
 def _code_points(line: bytes) -> int:
@@ -22,7 +22,7 @@ def _code_points(line: bytes) -> int:
 
 
 def line_keys(d: DataFrame, min_chars: int) -> DataFrame:
-    """doc_id, pos, hi, lo of each line whose key has at least min_chars code points."""
+    """doc_id, own (a hash of the text), pos, key of each line whose key has at least min_chars code points."""
 
     def run(batches):
         digest = xxhash.xxh3_128_digest
@@ -40,13 +40,13 @@ def line_keys(d: DataFrame, min_chars: int) -> DataFrame:
                                 n += 1
                 counts.append(n)
             rows = pa.array([k for k, n in enumerate(counts) for _ in range(n)], pa.int64())
-            yield pa.RecordBatch.from_arrays([ids.take(rows), pa.array(pos, pa.int32()), pa.array(found, pa.binary())], ["doc_id", "pos", "key"])
+            yield pa.RecordBatch.from_arrays([ids.take(rows), batch.column(2).take(rows), pa.array(pos, pa.int32()), pa.array(found, pa.binary())], ["doc_id", "own", "pos", "key"])
 
-    return map_batches(d, run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, pos int, key binary")
+    return map_batches(d, run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, own long, pos int, key binary")
 
 
 def doomed_lines(d: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
-    """doc_id and the sorted positions that it loses."""
+    """doc_id, own and the sorted positions that this text of the document loses."""
     keys = staged(line_keys(d, min_chars), "line-keys")
     common = staged(
         keys.groupBy("key", "doc_id").agg(F.lit(1).alias("one"))
@@ -55,7 +55,7 @@ def doomed_lines(d: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
         "common-lines",
     )
     lost = keys.join(common, "key").where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
-    return lost.groupBy("doc_id").agg(F.sort_array(F.collect_list("pos")).alias("lost"))
+    return lost.groupBy("doc_id", "own").agg(F.sort_array(F.collect_set("pos")).alias("lost"))
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
@@ -66,19 +66,20 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     largest doc_id that holds them; there all repeats stay.
 
     Nulls: a null or empty text is one empty line. A row with a null id keeps all its lines and
-    counts for no key. Ties: rows that repeat an id are one document for counting and lose the same
-    positions each. An empty table gives an empty result. Other columns are ignored.
+    counts for no key. Ties: rows that repeat an id are one document for counting, but each row
+    loses only its own doomed lines; rows are told apart by id and a hash of the text. An empty
+    table gives an empty result. Texts of any length are read whole. Other columns are ignored.
     """
-    d = keyed(docs, id_col, text_col)
+    d = keyed(docs, id_col, text_col).withColumn("own", F.xxhash64("text"))
     lost = doomed_lines(d.where(F.col("doc_id").isNotNull()), min_chars, min_docs)
     lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
     left = F.expr("array_except(sequence(0, size(lines) - 1), lost)")
     return (
-        d.join(lost, "doc_id", "left").withColumn("lines", lines)
+        left_join(d, lost, "doc_id", "own").withColumn("lines", lines)
         .select(
             "doc_id",
             F.when(F.col("lost").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(F.transform(left, lambda i: F.get("lines", i)), "\n")).alias("text"),
             F.size("lines").cast("long").alias("n_lines"),
-            F.when(F.col("lost").isNull(), 0).otherwise(F.size(F.array_distinct("lost"))).cast("long").alias("n_dropped"),
+            F.when(F.col("lost").isNull(), 0).otherwise(F.size("lost")).cast("long").alias("n_dropped"),
         )
     )

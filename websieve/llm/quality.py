@@ -1,28 +1,37 @@
 """Quality by co-training of a text-content and a page-metadata classifier.
 
 One pass turns each document into two views: numbers about its text, and numbers about its
-metadata (language, source, length, as hashed indicators). Both go to a stage table, so texts
-are read once. The driver then works on bounded samples: labelled rows and a pool of unlabelled
-rows. Each round fits both classifiers; each one names its most confident pool rows, which join
-the *other* one's training rows with that pseudo-label. At the end each view is calibrated on
-labelled rows that no classifier was fitted on, and a logistic curve over both calibrated
-log-odds combines them. All documents are scored from the stage table with that curve.
+metadata (language, source, length, as hashed indicators). They go to a stage table with the
+labels, so texts are read once. Both classifiers start from labelled rows. In each round each
+one scores all unlabelled rows, and the rows that it is most confident about join the *other*
+one's training rows with that pseudo-label; then both are fitted again. Unlabelled rows stay
+where they are: a round is a histogram of their log-odds, which sets the confidence to ask
+for, and a few Newton steps over sums of gradients and curvatures, all added up by Spark. Which
+rows have joined follows from the models and bounds of earlier rounds, so no row has a state.
+
+At the end each view is calibrated on labelled rows that no classifier was fitted on, and a
+logistic curve over both calibrated log-odds combines them and scores all documents.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 
 from .logistic import fit_logistic, sigmoid
-from .tables import map_batches, staged, thinned
+from .tables import fresh_name, left_join, map_batches, staged, text_bytes, thinned
 
 LANGS, SOURCES = 16, 64
 TEXT_VIEW = 20
 META_VIEW = LANGS + SOURCES + 2
+WIDTHS = (2 * TEXT_VIEW, META_VIEW)
+#: Bins of a histogram of log-odds from 0 to ODDS, on either side.
+BINS, ODDS = 4096, 40.0
 _LETTERS = bytes(1 if 65 <= b <= 90 or 97 <= b <= 122 or b >= 128 else 0 for b in range(256))
 _KIND = np.array([0 if b in (9, 10, 11, 12, 13, 32) else 1 if 65 <= b <= 90 else 2 if 97 <= b <= 122 else 3 if 48 <= b <= 57 else 4 if b < 128 else 5 for b in range(256)], np.uint8)
 
@@ -32,7 +41,7 @@ def text_view(text: bytes) -> list[float]:
     words = text.split()
     if not words:
         return [0.0] * TEXT_VIEW
-    n, size = len(words), len(text)
+    n, size, lines = len(words), len(text), text.split(b"\n")
     kinds = np.bincount(_KIND[np.frombuffer(text, np.uint8)], minlength=6) / size
     lens = np.fromiter(map(len, words), np.int64, n)
     distinct = set(words)
@@ -40,7 +49,7 @@ def text_view(text: bytes) -> list[float]:
     symbols = sum(not w.isalnum() and w.isascii() and not any(map(_LETTERS.__getitem__, w)) for w in distinct)
     marks = [text.count(c) / n for c in (b"|", b".", b",", b"@", b"#", b"%", b"&")]
     return [
-        *kinds[:5].tolist(), float(np.log1p(n)), float(lens.mean()), float(lens.std()), float((lens <= 3).mean()), float((lens >= 16).mean()),
+        *kinds[:5].tolist(), len(set(lines)) / len(lines), float(lens.mean()), float(lens.std()), float((lens <= 3).mean()), float((lens >= 16).mean()),
         len(distinct) / n, again, symbols / len(distinct), *marks,
     ]
 
@@ -53,18 +62,23 @@ def meta_view(lang: str | None, source: str | None, size: int) -> list[float]:
     return v
 
 
-def views(docs: DataFrame, id_col: str, text_col: str, lang_col: str, source_col: str) -> DataFrame:
-    """doc_id, text_view, meta_view (arrays of float)."""
-    d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"), F.coalesce(F.length(F.col(text_col)), F.lit(0)).alias("size"))
+def views(docs: DataFrame, text_col: str, lang_col: str, source_col: str) -> tuple[DataFrame, list[str]]:
+    """docs with the columns text_view and meta_view (arrays of float), and how these are called."""
+    at = [docs.columns.index(c) for c in (text_col, lang_col, source_col)]
+    names = [fresh_name(docs, "text_view"), fresh_name(docs, "meta_view")]
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(1).cast(pa.binary()).to_pylist()
-            t = [text_view(x or b"") for x in texts]
-            m = [meta_view(*row) for row in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(t, pa.list_(pa.float32())), pa.array(m, pa.list_(pa.float32()))], ["doc_id", "text_view", "meta_view"])
+            texts, langs, sources = (batch.column(k) for k in at)
+            t = [text_view(x) for x in text_bytes(texts)]
+            m = [meta_view(*row) for row in zip(langs.to_pylist(), sources.to_pylist(), pc.fill_null(pc.utf8_length(texts), 0).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(v, pa.list_(pa.float32())) for v in (t, m))], [*batch.schema.names, *names])
 
-    return map_batches(d, run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, text_view array<float>, meta_view array<float>")
+    return map_batches(docs, run, StructType([*docs.schema, *(StructField(n, ArrayType(FloatType())) for n in names)])), names
+
+
+def matrix(column: pa.Array, width: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), width)
 
 
 def curved(x: np.ndarray) -> np.ndarray:
@@ -72,38 +86,101 @@ def curved(x: np.ndarray) -> np.ndarray:
     return np.column_stack([x, x * x])
 
 
+def both_views(batch, first: int) -> list[np.ndarray]:
+    return [curved(matrix(batch.column(first), TEXT_VIEW)), matrix(batch.column(first + 1), META_VIEW)]
+
+
+def bin_of(z: np.ndarray) -> np.ndarray:
+    return np.minimum((np.abs(z) * (BINS / ODDS)).astype(np.int64), BINS - 1)
+
+
 class CoTraining:
-    """Two logistic views, pseudo-labels exchanged over rounds, calibrated and combined."""
-
-    def __init__(self, rounds: int = 5, confident: float = 0.97, share: float = 0.05):
-        self.rounds, self.confident, self.share = rounds, confident, share
-
-    def fit(self, labelled: list[np.ndarray], y: np.ndarray, pool: list[np.ndarray], calibrate: list[np.ndarray], cy: np.ndarray) -> CoTraining:
-        own = [(x, y.astype(float)) for x in labelled]
-        free = [np.arange(len(pool[0]))] * 2
-        self.exchanged = [0, 0]
-        for _ in range(self.rounds):
-            self.models = [fit_logistic(*o) for o in own]
-            for k in (0, 1):
-                other = 1 - k
-                p = self.probability(k, pool[k][free[other]])
-                most = max(1, int(self.share * len(pool[0])))
-                picks = [np.flatnonzero(c)[np.argsort(-v[c], kind="stable")[:most]] for c, v in ((p >= self.confident, p), (p <= 1 - self.confident, -p))]
-                for value, pick in zip((1.0, 0.0), picks):
-                    rows = free[other][pick]
-                    own[other] = (np.concatenate([own[other][0], pool[other][rows]]), np.concatenate([own[other][1], np.full(len(rows), value)]))
-                    self.exchanged[other] += len(rows)
-                free[other] = np.delete(free[other], np.concatenate(picks))
-        self.models = [fit_logistic(*o) for o in own]
+    """Two logistic views, pseudo-labels exchanged over rounds, calibrated and combined.
+
+    ``total(fn)`` adds up fn(views) over all unlabelled rows; fn takes both views of some rows
+    and gives one vector. ``history`` holds each round's models, and for each of these the bins
+    of log-odds, of class 0 and 1, from which on its rows join the other view.
+    """
+
+    def __init__(self, rounds: int = 5, confident: float = 0.97, share: float = 0.05, steps: int = 3, ridge: float = 1e-2):
+        self.rounds, self.share, self.steps, self.ridge = rounds, share, steps, ridge
+        self.least = int(bin_of(np.log(confident / (1 - confident))))
+
+    def fit(self, labelled: list[np.ndarray], y: np.ndarray, n_pool: int, total, calibrate: list[np.ndarray], cy: np.ndarray) -> CoTraining:
+        self.models, self.history, self.exchanged = [fit_logistic(x, y, self.ridge) for x in labelled], [], [0, 0]
+        self.scaling = [(x.mean(axis=0), np.where(x.std(axis=0) > 1e-12, x.std(axis=0), 1.0)) for x in labelled]
+        for _ in range(self.rounds if n_pool else 0):
+            tails = total(self.histogram).reshape(2, 2, BINS)[..., ::-1].cumsum(axis=-1)[..., ::-1]
+            most = max(1, int(self.share * n_pool))
+            bounds = [[self.bound(tail, most) for tail in own] for own in tails]
+            new = [sum(int(tail[b]) for tail, b in zip(own, bs) if b < BINS) for own, bs in zip(tails, bounds)]
+            self.history = [*self.history, (self.models, bounds)]
+            self.exchanged = [self.exchanged[t] + new[1 - t] for t in (0, 1)]
+            if not any(new):
+                break
+            self.refit(labelled, y, total)
         odds = [x @ w + b for x, (w, b) in zip(calibrate, self.models)]
         self.platt = [fit_logistic(o[:, None], cy) for o in odds]
         logits = np.column_stack([w[0] * o + b for o, (w, b) in zip(odds, self.platt)])
         self.joint = fit_logistic(logits, cy, ridge=0.1)
         return self
 
-    def probability(self, k: int, x: np.ndarray) -> np.ndarray:
-        w, b = self.models[k]
-        return sigmoid(x @ w + b)
+    def bound(self, tail: np.ndarray, most: int) -> int:
+        """The first bin with at most ``most`` rows from it on, or the last one that has any."""
+        b = max(self.least, int(np.argmax(tail <= most)) if tail[-1] <= most else BINS)
+        return b if b < BINS and tail[b] else int(np.flatnonzero(tail[self.least :])[-1]) + self.least if tail[self.least] else BINS
+
+    def pseudo_labels(self, t: int, views: list[np.ndarray]) -> np.ndarray:
+        """The label with which each row has joined view t, NaN for none."""
+        y, k = np.full(len(views[0]), np.nan), 1 - t
+        for models, bounds in self.history:
+            z = views[k] @ models[k][0] + models[k][1]
+            at = bin_of(z)
+            for side in (0, 1):
+                y[np.isnan(y) & ((z > 0) == side) & (at >= bounds[k][side])] = side
+        return y
+
+    def histogram(self, views: list[np.ndarray]) -> np.ndarray:
+        """[view, class, bin]: rows that haven't joined the other view yet, by this view's log-odds."""
+        out = np.zeros((2, 2, BINS))
+        for k in (0, 1):
+            free = np.isnan(self.pseudo_labels(1 - k, views))
+            z = (views[k] @ self.models[k][0] + self.models[k][1])[free]
+            for side in (0, 1):
+                out[k, side] = np.bincount(bin_of(z[(z > 0) == side]), minlength=BINS)
+        return out.ravel()
+
+    def slopes(self, t: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Curvature, gradient and number of rows of view t's loss, as one vector."""
+        mean, scale = self.scaling[t]
+        a = np.column_stack([(x - mean) / scale, np.ones(len(x))])
+        p = sigmoid(a @ self.weights[t])
+        return np.concatenate([((a * (p * (1 - p))[:, None]).T @ a).ravel(), a.T @ (p - y), [len(x)]])
+
+    def gradients(self, views: list[np.ndarray]) -> np.ndarray:
+        """Both views' slopes over the rows that have joined."""
+        out = []
+        for t in (0, 1):
+            y = self.pseudo_labels(t, views)
+            out.append(self.slopes(t, views[t][~np.isnan(y)], y[~np.isnan(y)]))
+        return np.concatenate(out)
+
+    def refit(self, labelled: list[np.ndarray], y: np.ndarray, total) -> None:
+        """Newton steps from the present models, over labelled rows and those that have joined."""
+        self.weights = [np.append(w * scale, b + w @ mean) for (w, b), (mean, scale) in zip(self.models, self.scaling)]
+        for _ in range(self.steps):
+            added, largest = total(self.gradients), 0.0
+            for t in (0, 1):
+                d = len(self.weights[t])
+                own, added = added[: d * d + d + 1] + self.slopes(t, labelled[t], y), added[d * d + d + 1 :]
+                penalty = np.append(np.full(d - 1, self.ridge * own[-1] ** 0.5), 1e-6)
+                step = np.linalg.solve(own[: d * d].reshape(d, d) + np.diag(penalty + 1e-9), own[d * d : -1] + penalty * self.weights[t])
+                size = float(np.abs(step).max())
+                self.weights[t] = self.weights[t] - step * min(1.0, 5.0 / max(size, 1e-12))
+                largest = max(largest, size)
+            if largest < 1e-3:
+                break
+        self.models = [(v[:-1] / scale, float(v[-1] - (v[:-1] / scale) @ mean)) for v, (mean, scale) in zip(self.weights, self.scaling)]
 
     def score(self, text: np.ndarray, meta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Calibrated probabilities of each view, and both views combined."""
@@ -116,53 +193,104 @@ def fold_of(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5
 
 
+def total_over(rows: DataFrame, fn) -> np.ndarray:
+    """The sum of fn over all rows (doc_id, text_view, meta_view); Spark adds up the tasks' sums."""
+    size = len(fn([np.zeros((0, w)) for w in WIDTHS]))
+
+    def run(batches):
+        out = np.zeros(size)
+        for batch in batches:
+            out += fn(both_views(batch, 1))
+        at = np.flatnonzero(out)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(out[at])], ["i", "v"])
+
+    found = map_batches(rows, run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).toArrow()
+    out = np.zeros(size)
+    out[found.column("i").to_numpy()] = found.column("v").to_numpy()
+    return out
+
+
 def _sample(rows: DataFrame, n: int) -> tuple[list[np.ndarray], np.ndarray]:
     t = thinned(rows, n).toArrow()
-    x = [t.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(t.num_rows, w) for c, w in (("text_view", TEXT_VIEW), ("meta_view", META_VIEW))]
-    return [curved(x[0]), x[1]], t.column("label").to_numpy().astype(float) if "label" in t.column_names else np.zeros(0)
+    x = [matrix(t.column(c).combine_chunks(), w) for c, w in (("text_view", TEXT_VIEW), ("meta_view", META_VIEW))]
+    return [curved(x[0]), x[1]], t.column("label").to_numpy().astype(float)
+
+
+def learn(found: DataFrame, labels: DataFrame, id_col: str, label_col: str, sample: int, rounds: int) -> tuple[DataFrame, CoTraining | None, float]:
+    """(found as a stage table with label and fold, the model or None, share of good labelled rows)."""
+    known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")).where("doc_id is not null and label in (0, 1)")
+    known = known.groupBy("doc_id").agg(F.max("label").alias("label")).withColumn("fold", fold_of(F.col("doc_id"))).where("fold > 0")
+    rows = staged(left_join(found, known, "doc_id"), "views")
+    of = lambda which: rows.where(which).select("doc_id", "text_view", "meta_view", "label")
+    train, y = _sample(of("fold > 1"), sample)
+    calibrate, cy = _sample(of("fold = 1"), sample)
+    model, share = None, float(y.mean()) if len(y) else 0.5
+    if 0 < y.sum() < len(y) and 0 < cy.sum() < len(cy):
+        pool = of("label is null")
+        model = CoTraining(rounds).fit(train, y, pool.count(), lambda fn: total_over(pool, fn), calibrate, cy)
+    return rows, model, share
 
 
 def quality(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", label_col: str = "quality",
-    *, sample: int = 10_000, pool: int = 10_000, rounds: int = 5,
+    *, sample: int = 20_000, rounds: int = 5,
 ) -> DataFrame:
     """doc_id, held_out, text_score, meta_score, score, predicted for each row of docs.
 
     Rows fall into five folds by crc32 of the id as text: fold 0 is held out and its labels
     are never read, fold 1 calibrates, folds 2 to 4 train. ``sample`` bounds the labelled rows
-    of either use and ``pool`` the unlabelled ones; a hash of the id picks about as many.
-
-    Nulls: null text, language or source count as empty; a null label is none; of an id's
-    several labels the largest counts. A text without words has an all-zero text view, is
-    scored like any other and predicted 0, as is every row if no class boundary can be fitted
-    (one class only): then scores are the share of good rows. An empty table gives an empty
-    result. Other columns are ignored.
+    of either use, about as many of which a hash of the id picks; all unlabelled rows take part.
+
+    Nulls: null text, language or source count as empty; a null label is none; a row with a
+    null id is unlabelled; of an id's several labels the largest counts. Ties: rows that repeat
+    an id share its label, and each is scored by its own content. A text without words has an
+    all-zero text view, is scored like any other and predicted 0. If no class boundary can be
+    fitted (no labels, or one class only), scores are the share of good rows (0.5 without
+    labels) and every row is predicted 1: nothing learnt, nothing rejected. An empty table gives an empty
+    result. Texts of any length are read whole. Other columns are ignored.
     """
-    found = staged(views(docs, id_col, text_col, lang_col, source_col), "views")
-    known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")).where("doc_id is not null and label in (0, 1)")
-    known = known.groupBy("doc_id").agg(F.max("label").alias("label")).withColumn("fold", fold_of(F.col("doc_id"))).where("fold > 0")
-    rows = found.join(known, "doc_id")
-    train, y = _sample(rows.where("fold > 1").drop("fold"), sample)
-    calibrate, cy = _sample(rows.where("fold = 1").drop("fold"), sample)
-    unlabelled, _ = _sample(found.join(known, "doc_id", "left_anti").where("doc_id is not null"), pool)
-    model, share = None, float(y.mean()) if len(y) else 0.5
-    if 0 < y.sum() < len(y) and 0 < cy.sum() < len(cy):
-        model = CoTraining(rounds).fit(train, y, unlabelled, calibrate, cy)
+    d = docs.select(F.col(id_col).alias("doc_id"), *(F.col(c).alias(n) for c, n in ((text_col, "text"), (lang_col, "lang"), (source_col, "source"))))
+    found, _ = views(d, "text", "lang", "source")
+    rows, model, share = learn(found.select("doc_id", "text_view", "meta_view"), labels, id_col, label_col, sample, rounds)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         for batch in batches:
-            n = batch.num_rows
-            x = [batch.column(k).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(n, w) for k, w in ((1, TEXT_VIEW), (2, META_VIEW))]
-            s = shared.value.score(curved(x[0]), x[1]) if shared.value else (np.full(n, share),) * 3
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v) for v in s), pa.array((s[2] >= 0.5) & x[0].any(axis=1), pa.bool_())], ["doc_id", "text_score", "meta_score", "score", "good"])
+            s, good = verdicts(shared.value, share, both_views(batch, 1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v) for v in s), pa.array(good)], ["doc_id", "text_score", "meta_score", "score", "good"])
 
-    kind = found.schema["doc_id"].dataType.simpleString()
-    scored = map_batches(found, run, f"doc_id {kind}, text_score double, meta_score double, score double, good boolean")
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    scored = map_batches(rows.select("doc_id", "text_view", "meta_view"), run, f"doc_id {kind}, text_score double, meta_score double, score double, good boolean")
     return scored.select("doc_id", (fold_of(F.col("doc_id")) == 0).alias("held_out"), "text_score", "meta_score", "score", F.col("good").cast("int").alias("predicted"))
 
 
-def drop_poor(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", **kw) -> DataFrame:
-    """docs without the rows that the classifier rejects."""
-    poor = quality(docs, labels, id_col, **kw).where("predicted = 0").select(F.col("doc_id").alias(id_col))
-    return docs.join(poor, id_col, "left_anti")
+def verdicts(model: CoTraining | None, share: float, x: list[np.ndarray]) -> tuple[tuple, np.ndarray]:
+    """(scores by text, by metadata and by both; whether the row is good) of some rows."""
+    n = len(x[0])
+    if model is None:
+        return (np.full(n, share),) * 3, np.ones(n, bool)
+    s = model.score(*x)
+    return s, (s[2] >= 0.5) & x[0].any(axis=1)
+
+
+def drop_poor(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", label_col: str = "quality",
+    *, sample: int = 20_000, rounds: int = 5,
+) -> DataFrame:
+    """docs without the rows that the classifier rejects, as ``quality`` describes it.
+
+    Each row is judged by its own content and carries its verdict, so repeated and null ids
+    change nothing. Without usable labels no row goes. An empty table stays empty.
+    """
+    seen, names = views(docs, text_col, lang_col, source_col)
+    seen = staged(seen, "documents-and-views")
+    found = seen.select(F.col(id_col).alias("doc_id"), *(F.col(n).alias(c) for n, c in zip(names, ("text_view", "meta_view"))))
+    _, model, share = learn(found, labels, id_col, label_col, sample, rounds)
+    shared, width = docs.sparkSession.sparkContext.broadcast(model), len(docs.columns)
+
+    def run(batches):
+        for batch in batches:
+            good = verdicts(shared.value, share, both_views(batch, width))[1]
+            yield pa.RecordBatch.from_arrays(batch.columns[:width], batch.schema.names[:width]).filter(pa.array(good))
+
+    return map_batches(seen, run, docs.schema)

@@ -26,9 +26,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .components import components
-from .tables import keyed, map_batches, staged, text_bytes
+from .tables import fresh_name, keyed, map_batches, one_of_each, staged, text_bytes
 
 BITS, SEED, CHUNK = 64, 42, 1 << 16
 #: Members of a bucket up to which its rows are compared by their distance in the sorted order;
@@ -232,6 +233,20 @@ def links(distinct: DataFrame, radius: int, *, bucket: int = 1 << 14, levels: in
     return out
 
 
+def classes(fps: DataFrame, radius: int) -> DataFrame:
+    """fp, root (one fp of its component), component_id, n_links of each fp in (doc_id, fp)."""
+    distinct = staged(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    found = links(distinct, radius)
+    roots = components(found.select(F.col("fp").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("fp"), "root")
+    ends = found.groupBy("fp").agg(F.sum("n").alias("n_links"))
+    joined = distinct.join(roots, "fp").join(ends, "fp")
+    least = joined.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = staged(joined.join(least, "root").select("fp", "root", "component_id", "n_links"), "components")
+    return distinct.join(named, "fp", "left").select(
+        "fp", F.coalesce("root", "fp").alias("root"), F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")
+    )
+
+
 def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 4, radius: int = 4) -> DataFrame:
     """doc_id, fingerprint (hex), component_id, n_links for each row of docs.
 
@@ -244,18 +259,26 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     empty result. Other columns are ignored.
     """
     d = staged(fingerprints(docs, id_col, text_col, shingle=shingle), "fingerprints")
-    distinct = staged(d.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    found = links(distinct, radius)
-    roots = components(found.select(F.col("fp").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("fp"), "root")
-    ends = found.groupBy("fp").agg(F.sum("n").alias("n_links"))
-    linked_ = distinct.join(roots, "fp").join(ends, "fp")
-    least = linked_.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = staged(linked_.join(least, "root").select("fp", "component_id", "n_links"), "components")
-    classes = distinct.join(named, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    return d.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_links")
+    return d.join(classes(d, radius), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_links")
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 4, radius: int = 4) -> DataFrame:
+    """docs with one row of each component, that with the smallest id.
 
+    A row is judged by its id and its own fingerprint. Nulls: a null text is empty; a null id
+    is larger than any other. Ties: of a component's rows that share the smallest id one stays.
+    An empty table stays empty.
+    """
+    name, at = fresh_name(docs, "fp"), docs.columns.index(text_col)
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
-    """docs with only the smallest id of each component."""
-    gone = simhash_dedup(docs, id_col, text_col, **kw).where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(id_col))
-    return docs.join(gone, id_col, "left_anti")
+    def run(batches):
+        for batch in batches:
+            fp = np.array([fingerprint(t, shingle) for t in text_bytes(batch.column(at))], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fp)], [*batch.schema.names, name])
+
+    seen = staged(map_batches(docs, run, StructType([*docs.schema, StructField(name, LongType())])), "documents-and-fingerprints")
+    key, least = fresh_name(seen, "component"), fresh_name(seen, "least")
+    own = classes(seen.select(F.col(id_col).alias("doc_id"), F.col(name).alias("fp")), radius).select(F.col("fp").alias(name), F.col("root").alias(key), F.col("component_id").alias(least))
+    rows = seen.join(own, name).where(F.col(id_col).eqNullSafe(F.col(least)))
+    again = rows.groupBy(key).agg(F.count(F.lit(1)).alias("times")).where("times > 1").select(key)
+    return one_of_each(rows, key, again).select(*docs.columns)

@@ -12,6 +12,7 @@ import pyarrow.fs  # noqa: F401
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 _SCRATCH: dict[str, str] = {}
 
@@ -59,11 +60,8 @@ def staged(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow with batches small enough that many very long texts never meet in memory."""
-    conf = df.sparkSession.conf
-    if conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("bB") in ("67108864", "64m"):
-        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16777216")
+def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """mapInArrow; Spark bounds a batch by its rows and bytes."""
     return df.mapInArrow(fn, schema)
 
 
@@ -73,8 +71,37 @@ def keyed(docs: DataFrame, id_col: str, *text_cols: str) -> DataFrame:
 
 
 def text_bytes(column: pa.Array) -> Iterator[bytes]:
-    """UTF-8 bytes of each value, empty for null, without a detour over Python str."""
-    return (x or b"" for x in column.cast(pa.binary()).to_pylist())
+    """UTF-8 bytes of each value, empty for null, some at a time and without a detour over Python str."""
+    for k in range(0, len(column), 256):
+        yield from (x or b"" for x in column.slice(k, 256).cast(pa.binary()).to_pylist())
+
+
+def fresh_name(df: DataFrame, name: str) -> str:
+    """name, or a longer one if df has a column that is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def left_join(rows: DataFrame, right: DataFrame, *keys: str) -> DataFrame:
+    """A left join whose rows with a null key spread over all tasks instead of meeting in one."""
+    extra, null = fresh_name(rows, "spread"), F.lit(False)
+    for k in keys:
+        null = null | F.col(k).isNull()
+    apart = F.when(null, F.monotonically_increasing_id()).otherwise(F.lit(0).cast("long"))
+    return rows.withColumn(extra, apart).join(right.withColumn(extra, F.lit(0).cast("long")), [*keys, extra], "left").drop(extra)
+
+
+def one_of_each(rows: DataFrame, key: str, again: DataFrame) -> DataFrame:
+    """rows with one of those that share a key listed in ``again`` (its one column, not null); the others stay as they are."""
+    if again.isEmpty():
+        return rows
+    name = fresh_name(rows, "again")
+    again = staged(again.toDF(name), "again")
+    same = F.col(key) == F.col(name)
+    once = rows.join(again, same, "left_semi").groupBy(key).agg(F.first(F.struct(*(F.col(c) for c in rows.columns))).alias(name)).select(f"{name}.*")
+    return rows.join(again, same, "left_anti").unionByName(once)
 
 
 def partitions_for(spark: SparkSession) -> int:

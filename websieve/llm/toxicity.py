@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .decontaminate import words_of
 from .logistic import fit_logistic
-from .tables import keyed, map_batches, staged, text_bytes, thinned
+from .tables import keyed, left_join, map_batches, staged, text_bytes, thinned
 
 ORDER, DISCOUNT = 5, 0.75
 FLUSH = 400_000
@@ -200,7 +200,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")).where("doc_id is not null and label in (0, 1)")
     known = known.groupBy("doc_id").agg(F.max("label").alias("label")).withColumn("fold", fold_of(F.col("doc_id"))).where("fold > 0")
     learning = known.where("fold > 1").select("doc_id", "label").hint("merge")  # labels grow with the documents
-    counted = staged(gram_counts(d.join(learning, "doc_id", "left")), "grams")
+    counted = staged(gram_counts(left_join(d, learning, "doc_id")), "grams")
     found = staged(evidence(d, learn(counted), stretch), "evidence")
     sample = thinned(found.join(known.where("fold = 1"), "doc_id").select("doc_id", "whole", "worst", "label"), fit_rows).toPandas()
     x, y = sample[["whole", "worst"]].to_numpy(float), sample["label"].to_numpy(float)

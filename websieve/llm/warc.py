@@ -2,8 +2,8 @@
 
 Writer: one gzip member per record. Of records with equal payloads of at least ``min_bytes``
 bytes, the one with the smallest id is a response; the others are revisits that name it and
-carry only HTTP headers. Digests are counted with partial sums before their shuffle, so a
-payload that a third of all pages share is no hot task.
+carry only HTTP headers. Digests are counted with partial sums before their shuffle, and rows
+join the few that repeat by digest, where adaptive execution can split a hot one.
 
 Reader: each record is checked (member checksum, version line, headers, length, block digest).
 After a failed check it looks for the next offset where a valid member or version line starts,
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import attempt_name, make_folder, map_batches, new_folder, open_path, staged
+from .tables import attempt_name, left_join, make_folder, map_batches, new_folder, open_path, staged
 
 MAGIC, VERSION = b"\x1f\x8b\x08", b"WARC/1."
 WINDOW = 1 << 20
@@ -157,29 +157,27 @@ def _all(data: bytes, mark: bytes) -> Iterator[int]:
         p = data.find(mark, p + 1)
 
 
-def revisits(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", *, min_bytes: int = 100) -> DataFrame:
-    """page_id, refers_to of each page whose payload a page with a smaller id has.
-
-    Nulls: a null payload is empty and so a response; a null id is a response and no target.
-    """
-    p = pages.select(F.col(id_col).alias("page_id"), F.coalesce(F.col(html_col), F.lit("")).cast("binary").alias("payload"))
-    d = staged(p.where((F.octet_length("payload") >= min_bytes) & F.col("page_id").isNotNull()).select("page_id", F.sha2("payload", 256).alias("digest")), "payload-digests")
-    first = d.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    return d.join(first, "digest").where("page_id <> refers_to").select("page_id", "refers_to")
+def originals(payloads: DataFrame) -> DataFrame:
+    """digest, refers_to (the smallest id) of each digest that several rows (page_id, digest) have."""
+    return payloads.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
 
 
 def write_warc(
     pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", *, min_bytes: int = 100, file_bytes: int = 256 << 20, date: str = "2024-01-01T00:00:00Z", level: int = 4
 ) -> DataFrame:
-    """Write a record per page; a manifest row (file, records, bytes) per archive.
+    """Write a record per row of pages; a manifest row (file, records, bytes) per archive.
 
-    Ties: pages that repeat an id and a payload are one record's copies and become responses
-    of the same name when the id is the smallest, revisits of it otherwise. A null url is
-    written empty. An empty table writes no archive. Other columns are ignored.
+    Nulls: a null payload is empty and so a response; a null id is a response and no target; a
+    null url is written empty. Ties: each row has a record of its own, judged by its id and its
+    payload; rows that repeat both become responses of the same name when the id is the
+    smallest, revisits of it otherwise. An empty table writes no archive. Payloads of any
+    length are written whole. Other columns are ignored.
     """
     make_folder(folder)
-    links = revisits(pages, id_col, html_col, min_bytes=min_bytes)
-    p = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html")).join(links, "page_id", "left")
+    p = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).cast("binary").alias("payload"))
+    p = p.withColumn("sha256", F.sha2("payload", 256)).withColumn("digest", F.when((F.octet_length("payload") >= min_bytes) & F.col("page_id").isNotNull(), F.col("sha256")))
+    first = originals(staged(p.where("digest is not null").select("page_id", "digest"), "payload-digests"))
+    p = left_join(p, first, "digest").select("page_id", "url", "payload", "sha256", F.when(F.col("page_id") != F.col("refers_to"), F.col("refers_to")).alias("ref"))
 
     def run(batches):
         out, done = None, []
@@ -189,13 +187,12 @@ def write_warc(
             done.append((out[1], out[2], out[3]))
 
         for batch in batches:
-            for page_id, url, html, ref in zip(*(batch.column(k).to_pylist() for k in range(4))):
+            for page_id, url, payload, digest, ref in zip(*(batch.column(k).to_pylist() for k in range(5))):
                 if out is None:
                     name = f"{folder}/{attempt_name('pages')}-{len(done):04d}.warc.gz"
                     fs, path = open_path(name)
                     out = [fs.open_output_stream(path, compression=None, buffer_size=1 << 20), name, 0, 0]
-                payload = (html or "").encode()
-                raw = record("response" if ref is None else "revisit", page_id, url or "", payload, hashlib.sha256(payload).hexdigest(), ref, date)
+                raw = record("response" if ref is None else "revisit", page_id, url or "", payload, digest, ref, date)
                 c = zlib.compressobj(level, zlib.DEFLATED, 31)
                 data = c.compress(raw) + c.flush()
                 out[0].write(data)
