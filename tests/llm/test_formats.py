@@ -19,7 +19,6 @@ from websieve.llm.tables import open_path
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 TOKENIZER = Tokenizer.from_file(PATH)
-TOKENIZER.encode_special_tokens = True
 
 
 def expected(text):
@@ -38,6 +37,23 @@ def test_encoder_cases(text):
     assert enc.encode_all([text, "other words", text]) == [expected(text), expected("other words"), expected(text)]
 
 
+def test_special_strings():
+    text = "a <|endoftext|> b"
+    assert 50256 in np.frombuffer(expected(text), "<u4") and tr.Encoder(PATH).encode(text) == expected(text)
+    as_text = Tokenizer.from_file(PATH)
+    as_text.encode_special_tokens = True
+    assert tr.Encoder(PATH, special_as_text=True).encode(text) == np.array(as_text.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def test_other_pre_tokenizer():
+    """A file whose pre-tokenizer cuts elsewhere: whole texts go to the library."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    other, enc = Tokenizer.from_file(path), tr.Encoder(path)
+    for text in ("", "Some Words, and  more!", "x\n\ny"):
+        assert enc.encode(text) == np.array(other.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    assert tr.Encoder(PATH).cuts and not enc.cuts
+
+
 def test_records(spark, docs, tmp_path):
     rows = [(9, "b a"), (3, None), (4, ""), (7, "long word " * 3000), (None, "n"), (5, "x\n\ny"), (5, "a")]
     folder = f"file://{tmp_path}/ids"

@@ -17,6 +17,7 @@ repeated task leaves nothing behind that a reader would see.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -76,10 +77,21 @@ def _open_ended(piece: str) -> bool:
     return not piece or piece[0].isspace() or piece[-1].isspace()
 
 
+def cuttable(spec: dict) -> bool:
+    """Whether a tokenizer's file describes what Encoder's cuts rely on."""
+    pre, post, model = spec.get("pre_tokenizer") or {}, spec.get("post_processor") or {"type": "ByteLevel"}, spec.get("model") or {}
+    plain = not any((spec.get("normalizer"), spec.get("truncation"), spec.get("padding"), model.get("dropout"), model.get("continuing_subword_prefix"), model.get("end_of_word_suffix")))
+    return plain and pre.get("type") == post["type"] == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and model.get("type", "BPE") == "BPE"
+
+
 class Encoder:
-    """A byte-level BPE tokenizer with a memory of pieces, emptied when it has grown too large.
+    """The library's ids of whole texts, with a memory of pieces, emptied when it has grown too large.
+
+    Whole texts go to the library unless its file names a byte-level BPE with the usual
+    pre-tokenizer (``cuttable``), and so does a text that holds a string of an added token; with
+    ``special_as_text`` the strings of special tokens are ordinary text.
 
-    Its pre-tokenizer always cuts before a single space between two characters that aren't
+    For all others: the pre-tokenizer always cuts before a single space between two characters that aren't
     white space, so texts can be encoded piece by piece at such spaces and equal pieces have
     equal ids. It also keeps a space with the letters after it whole, and cuts before a mark
     that follows them; so new words of Latin letters, with or without such a mark, can go to the
@@ -88,12 +100,17 @@ class Encoder:
 
     SAFE = re.compile(r"(?<=\S) (?=\S)")
 
-    def __init__(self, path: str, remember: int = 1_000_000):
+    def __init__(self, path: str, remember: int = 1_000_000, special_as_text: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = special_as_text
+        spec = json.loads(self.tokenizer.to_str())
+        self.added = [t["content"] for t in spec.get("added_tokens") or [] if not (special_as_text and t["special"])]
+        self.cuts = cuttable(spec)
+        if not self.cuts:
+            return
         self.remember, self.memory, self.heads = remember, {}, {}
         space = self.tokenizer.encode(" ", add_special_tokens=False).tokens[0]
         vocabulary = self.tokenizer.get_vocab()
@@ -144,7 +161,17 @@ class Encoder:
         return new
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
-        """The ids of each whole text as little-endian u32.
+        """The ids of each whole text as little-endian u32."""
+        if not self.cuts:
+            return self._ids(texts)
+        whole = {k for k, t in enumerate(texts) if any(a in t for a in self.added)}
+        if not whole:
+            return self._pieces(texts)
+        ids = iter(self._pieces([t for k, t in enumerate(texts) if k not in whole]))
+        return [self._ids([t])[0] if k in whole else next(ids) for k, t in enumerate(texts)]
+
+    def _pieces(self, texts: list[str]) -> list[bytes]:
+        """The ids of texts without added tokens, piece by piece.
 
         A line feed between two characters that aren't white space stands alone, so lines are
         encoded on their own; a text with other neighbours of line feeds, or with double
