@@ -151,15 +151,6 @@ class Encoder:
         if other:
             memory.update(zip(other, self._ids([" " + p for p in other])))
 
-    def _unknown(self, cut: list[list[list[str]]]) -> set[str]:
-        new = set()
-        for lines in cut:
-            own = set()
-            for parts in lines:
-                own.update(parts)
-            new |= own.difference(self.memory)
-        return new
-
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """The ids of each whole text as little-endian u32."""
         if not self.cuts:
@@ -180,25 +171,35 @@ class Encoder:
         if len(self.memory) + len(self.heads) > self.remember:
             self.memory.clear()
             self.heads.clear()
-        cut = [[line.split(" ") for line in t.split("\n")] if t else [] for t in texts]
-        new = self._unknown(cut)
-        bad, odd = set(filter(_open_ended, new)), {}
+        rows, new, starts, get, heads = [], set(), set(), self.memory.get, self.heads
+        for t in texts:
+            lines = []
+            for line in t.split("\n") if t else ():
+                first, *rest = line.split(" ")
+                ids = list(map(get, rest))
+                full = all(ids)  # no piece has no ids
+                if not full:
+                    new.update([p for p, i in zip(rest, ids) if i is None])
+                if first not in heads:
+                    starts.add(first)
+                lines.append((first, rest, ids, full))
+            rows.append(lines)
+        bad, odd, loose = set(filter(_open_ended, new | starts)), {}, set()
         if bad:
-            odd = {k: self.SAFE.split(t) for k, (t, lines) in enumerate(zip(texts, cut)) if any(not bad.isdisjoint(parts) for parts in lines)}
-            for k, parts in odd.items():
-                cut[k] = [parts]
-            new = {p for p in self._unknown(cut) if not _open_ended(p)}
-        self._learn(new)
-        starts = list({parts[0] for lines in cut for parts in lines}.difference(self.heads))
-        self.heads.update(zip(starts, self._ids(starts)))
-        ends = list({p for parts in odd.values() for p in parts[1:] if _open_ended(p)})
-        loose = dict(zip(ends, self._ids([" " + p for p in ends])))
-        out, feed, heads, get = [], self.feed, self.heads, self.memory.__getitem__
-        for k, lines in enumerate(cut):
+            odd = {k: self.SAFE.split(t) for k, (t, lines) in enumerate(zip(texts, rows)) if any(first in bad or not (full or bad.isdisjoint(rest)) for first, rest, _, full in lines)}
+            loose = {" " + p for parts in odd.values() for p in parts[1:] if _open_ended(p)} | {parts[0] for parts in odd.values()}
+            new.update(p for parts in odd.values() for p in parts[1:] if p not in self.memory and not _open_ended(p))
+        self._learn(new - bad)
+        starts = list(starts - bad)
+        heads.update(zip(starts, self._ids(starts)))
+        loose = list(loose)
+        apart = dict(zip(loose, self._ids(loose)))
+        out, feed, get = [], self.feed, self.memory.__getitem__
+        for k, lines in enumerate(rows):
             if k in odd:
-                out.append(heads[lines[0][0]] + b"".join([loose[p] if p in loose else get(p) for p in lines[0][1:]]))
+                out.append(b"".join([apart[odd[k][0]], *(apart[" " + p] if _open_ended(p) else get(p) for p in odd[k][1:])]))
             else:
-                out.append(feed.join([heads[parts[0]] + b"".join(map(get, parts[1:])) for parts in lines]))
+                out.append(feed.join([heads[first] + b"".join(ids if full else map(get, rest)) for first, rest, ids, full in lines]))
         return out
 
     def encode(self, text: str) -> bytes:
