@@ -7,11 +7,12 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 
 from oracle import SF
 from websieve.llm.decontaminate import decontaminate
-from websieve.llm.packing import best_fit, pack, packed_sequences
+from websieve.llm.packing import END, PAD, best_fit, pack, pack_group, pack_texts, packed_sequences, plan_of
 from websieve.llm.quality import quality
 from websieve.llm.toxicity import toxicity
 from websieve.llm.url_filter import Bloom, Cascade, build_cascade, filter_urls, split_url
@@ -100,6 +101,71 @@ def test_best_fit_places_everything():
     assert best_fit([7, 5, 3], [10], 0, None)[1] == [(0, 0), (1, 0), (0, 7)]
 
 
+def naive_best_fit(lengths, capacities, overhead, prefer):
+    """Open bins as plain lists; every bin is looked at for every length."""
+    bins, left = [], sum(lengths)
+    for k, n in enumerate(lengths):
+        fitting = [b for b in bins if b["size"] - sum(b["has"]) >= n]
+        if fitting:
+            b = min(fitting, key=lambda b: (b["size"] - sum(b["has"]), -b["filled"]))  # of equal rooms the one filled last
+        else:
+            can = [c for c in capacities if c >= n]
+            c = (prefer if prefer >= n else can[0]) if prefer else min(can, key=lambda c: ((c + overhead) / max(1, min(c, left)), c))
+            bins.append(b := {"size": c, "has": []})
+        b["has"].append(n)
+        b["filled"] = k
+        left -= n
+    return sum(min(c for c in capacities if c >= sum(b["has"])) + overhead for b in bins)
+
+
+def cheapest(lengths, capacities, overhead):
+    """The least cost over all ways to deal lengths to bins."""
+    best = float("inf")
+
+    def deal(k, sums):
+        nonlocal best
+        if k == len(lengths):
+            best = min(best, sum(min(c for c in capacities if c >= s) + overhead for s in sums))
+            return
+        for b in range(len(sums)):
+            if sums[b] + lengths[k] <= max(capacities):
+                deal(k + 1, [*sums[:b], sums[b] + lengths[k], *sums[b + 1 :]])
+        deal(k + 1, [*sums, lengths[k]])
+
+    deal(0, [])
+    return best
+
+
+def test_best_fit_against_brute_force():
+    rng, capacities, exact = random.Random(9), [16, 32, 64], 0
+    for case in range(120):
+        overhead = rng.choice([0, 1, 9])
+        lengths = sorted((rng.randrange(1, 65) for _ in range(rng.randrange(1, 7))), reverse=True)
+        costs = [best_fit(lengths, capacities, overhead, p)[0] for p in (None, 64, 32, 16)]
+        assert costs == [naive_best_fit(lengths, capacities, overhead, p) for p in (None, 64, 32, 16)]
+        places, sizes = pack_group(lengths, capacities, overhead)
+        least, got = cheapest(lengths, capacities, overhead), sum(sizes) + overhead * len(sizes)
+        assert least <= got == min(costs) <= 1.6 * least
+        exact += got == least
+    assert exact >= 90
+
+
+def test_packing_texts(spark, docs):
+    rows = [(1, "abc"), (2, None), (3, ""), (4, "é" * 30), (1, "again"), (None, "n"), (None, "n"), (5, "x" * 41), (6, "y" * 40), (7, "z" * 9)]
+    bins = pack_texts(docs(rows).repartition(3), capacities=(10, 20), overhead=1, group_pieces=6).collect()
+    seen = []
+    for r in bins:
+        ids = np.frombuffer(r.ids, "<u2").tolist()
+        assert len(ids) == r.capacity in (10, 20) and ids[r.bin_used :] == [PAD] * (r.capacity - r.bin_used) and r.bin_used == sum(r.length)
+        seen += [(i, p, s, ids[o : o + n]) for i, p, s, n, o in zip(r.doc_id, r.piece, r.start, r.length, r.bin_offset)]
+    want = [(i, s // 20, s, x[s : s + 20]) for i, t in rows for x in [[*(t or "").encode(), END]] for s in range(0, len(x), 20)]
+    key = lambda r: (r[0] is None, r[0] or 0, r[1], r[3])
+    assert sorted(seen, key=key) == sorted(want, key=key)
+    assert pack_texts(docs([])).count() == 0
+    plan = plan_of(pack_texts(docs(rows), capacities=(10, 20), overhead=1)).collect()
+    assert {r.bin_sha256 for r in plan} and len(plan) == len(want)
+
+
 def test_packing(spark):
     rows = [(i, n, "x") for i, n in enumerate([0, None, -3, 1, 10, 11, 25, 10, 4, 3, 3])] + [(3, 1, "x")]
     df = spark.createDataFrame(rows, "doc_id bigint, n bigint, bin_id string")
@@ -191,6 +257,11 @@ def test_pipeline(spark):
             items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
             assert set(left) == {i for i, t in before.items() if not brute_contamination(t, items)[4]}
     packed = p.STAGES[-1][1](spark, docs, SF)
-    rows = lambda df: sorted((r.doc_id, r.piece, r.length, r.bin_id, r.bin_offset) for r in df.collect())
+    rows = lambda df: sorted((r.doc_id, r.piece, r.length, r.bin_id, r.bin_offset, r.bin_sha256) for r in plan_of(df).collect())
     assert rows(packed) == rows(p.run(spark, SF))
-    assert sum(r.length for r in packed.collect()) == sum(len(r.text.encode()) + 1 for r in docs.collect())
+    texts = {r.doc_id: r.text.encode() for r in docs.collect()}
+    assert sum(map(sum, (r.length for r in packed.collect()))) == sum(len(t) + 1 for t in texts.values())
+    for r in packed.collect():
+        ids = np.frombuffer(r.ids, "<u2")
+        want = [x for i, s, n in zip(r.doc_id, r.start, r.length) for x in [*texts[i], END][s : s + n]]
+        assert ids.tolist() == want + [PAD] * (r.capacity - r.bin_used)

@@ -93,4 +93,4 @@ def test_every_stage_takes_odd_rows(spark):
             kept = left(stage(spark, docs, SF))
             assert kept <= Counter(rows)
         packed = STAGES[-1][1](spark, docs, SF)
-        assert sum(r.length for r in packed.collect()) == sum(len(t or "") + 1 for _, t in rows)
+        assert sum(sum(r.length) for r in packed.collect()) == sum(len(t or "") + 1 for _, t in rows)

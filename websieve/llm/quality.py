@@ -102,7 +102,7 @@ class CoTraining:
     of log-odds, of class 0 and 1, from which on its rows join the other view.
     """
 
-    def __init__(self, rounds: int = 5, confident: float = 0.97, share: float = 0.05, steps: int = 3, ridge: float = 1e-2):
+    def __init__(self, rounds: int = 5, confident: float = 0.97, share: float = 0.05, steps: int = 6, ridge: float = 1e-2):
         self.rounds, self.share, self.steps, self.ridge = rounds, share, steps, ridge
         self.least = int(bin_of(np.log(confident / (1 - confident))))
 
@@ -151,11 +151,12 @@ class CoTraining:
         return out.ravel()
 
     def slopes(self, t: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """Curvature, gradient and number of rows of view t's loss, as one vector."""
+        """Curvature, gradient, number of rows and value of view t's loss at its weights, as one vector."""
         mean, scale = self.scaling[t]
         a = np.column_stack([(x - mean) / scale, np.ones(len(x))])
-        p = sigmoid(a @ self.weights[t])
-        return np.concatenate([((a * (p * (1 - p))[:, None]).T @ a).ravel(), a.T @ (p - y), [len(x)]])
+        z = a @ self.weights[t]
+        p = sigmoid(z)
+        return np.concatenate([((a * (p * (1 - p))[:, None]).T @ a).ravel(), a.T @ (p - y), [len(x), (np.logaddexp(0, z) - y * z).sum()]])
 
     def gradients(self, views: list[np.ndarray]) -> np.ndarray:
         """Both views' slopes over the rows that have joined."""
@@ -166,21 +167,29 @@ class CoTraining:
         return np.concatenate(out)
 
     def refit(self, labelled: list[np.ndarray], y: np.ndarray, total) -> None:
-        """Newton steps from the present models, over labelled rows and those that have joined."""
+        """Newton steps from the present models, over labelled rows and those that have joined.
+
+        A step that doesn't lower the loss is halved until it does.
+        """
         self.weights = [np.append(w * scale, b + w @ mean) for (w, b), (mean, scale) in zip(self.models, self.scaling)]
+        best: list = [None, None]
         for _ in range(self.steps):
-            added, largest = total(self.gradients), 0.0
+            added, moving = total(self.gradients), 0.0
             for t in (0, 1):
-                d = len(self.weights[t])
-                own, added = added[: d * d + d + 1] + self.slopes(t, labelled[t], y), added[d * d + d + 1 :]
-                penalty = np.append(np.full(d - 1, self.ridge * own[-1] ** 0.5), 1e-6)
-                step = np.linalg.solve(own[: d * d].reshape(d, d) + np.diag(penalty + 1e-9), own[d * d : -1] + penalty * self.weights[t])
-                size = float(np.abs(step).max())
-                self.weights[t] = self.weights[t] - step * min(1.0, 5.0 / max(size, 1e-12))
-                largest = max(largest, size)
-            if largest < 1e-3:
+                v, d = self.weights[t], len(self.weights[t])
+                own, added = added[: d * d + d + 2] + self.slopes(t, labelled[t], y), added[d * d + d + 2 :]
+                penalty = np.append(np.full(d - 1, self.ridge * own[-2] ** 0.5), 1e-6)
+                loss = own[-1] + 0.5 * penalty @ (v * v)
+                if best[t] is None or loss < best[t][0]:
+                    step = np.linalg.solve(own[: d * d].reshape(d, d) + np.diag(penalty + 1e-9), own[d * d : -2] + penalty * v)
+                    best[t] = loss, v, step * min(1.0, 5.0 / max(float(np.abs(step).max()), 1e-12))
+                else:
+                    best[t] = *best[t][:2], best[t][2] / 2
+                self.weights[t] = best[t][1] - best[t][2]
+                moving = max(moving, float(np.abs(best[t][2]).max()))
+            if moving < 1e-3:
                 break
-        self.models = [(v[:-1] / scale, float(v[-1] - (v[:-1] / scale) @ mean)) for v, (mean, scale) in zip(self.weights, self.scaling)]
+        self.models = [(v[:-1] / scale, float(v[-1] - (v[:-1] / scale) @ mean)) for (_, v, _), (mean, scale) in zip(best, self.scaling)]
 
     def score(self, text: np.ndarray, meta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Calibrated probabilities of each view, and both views combined."""

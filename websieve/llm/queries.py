@@ -21,8 +21,8 @@ def tokenizer_path() -> str:
 
 
 def op1(spark, sf_dir):
-    """Lengths are UTF-8 bytes, the ids of a byte-level vocabulary, plus an end mark."""
-    return packing.pack(_table(spark, sf_dir, "documents"), F.coalesce(F.octet_length("text"), F.lit(0)) + 1)
+    """Whole texts as ids of a byte vocabulary, packed; a row for each piece with its bin's digest."""
+    return packing.plan_of(packing.pack_texts(_table(spark, sf_dir, "documents")))
 
 
 def op2(spark, sf_dir):
