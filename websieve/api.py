@@ -18,6 +18,7 @@ from .operators import store as results
 from .operators.standing import Standing
 from .plans.compiler import Context
 from .plans.explain import Explanation, explain, supported_filters
+from .scratch import written
 from .sources import blobs
 
 MIN_ACCOUNT = 12
@@ -62,7 +63,11 @@ class Server:
 
 @dataclass
 class Engine:
-    """All services over one result store and one blob store."""
+    """All services over one result store and one blob store.
+
+    Each change is written to the shared folder and read back, so plans stay short and a result
+    stays what it was when it was posted.
+    """
 
     spark: SparkSession
     store: DataFrame
@@ -155,13 +160,14 @@ class Engine:
 
     def post_results(self, key_id: str, rows: DataFrame) -> None:
         workspace_id = self.allowed(key_id, results.OWNER, results.WRITE).workspace_id
-        self.store = results.upsert(self.store, rows.withColumn("workspace_id", F.lit(workspace_id)))
+        self.store = written(results.upsert(self.store, rows.withColumn("workspace_id", F.lit(workspace_id))), "store")
 
     def transform(self, key_id: str, action: str, *, target_key: str | None = None, **what) -> int:
         """Change results; returns how many rows were picked."""
         own = self.allowed(key_id, results.OWNER, results.MANAGE, results.WRITE).workspace_id
         target = self.allowed(target_key, results.OWNER, results.WRITE).workspace_id if target_key else None
-        self.store, affected = results.transform(self.store, results.Transform(action, own, target=target, **what), self.context())
+        changed, affected = results.transform(self.store, results.Transform(action, own, target=target, **what), self.context())
+        self.store = written(changed, "store")
         return affected
 
     def account_stats(self, account: str, offset: int = 0, limit: int = 100) -> DataFrame:
@@ -171,11 +177,12 @@ class Engine:
         return results.account_stats(self.stats, self.spark.createDataFrame(rows, "workspace_id string, account string"), account, offset=offset, limit=limit)
 
     def post_stats(self, rows: DataFrame) -> None:
-        self.stats = rows if self.stats is None else self.stats.unionByName(rows)
+        self.stats = written(rows if self.stats is None else self.stats.unionByName(rows), "stats")
 
     # blobs
     def put_blobs(self, data: DataFrame) -> None:
-        self.blob_store = self.blob_store.unionByName(blobs.missing_blobs(self.blob_store, blobs.blob_rows(data)))
+        new = written(blobs.missing_blobs(self.blob_store, blobs.blob_rows(data)), "blobs")
+        self.blob_store = self.blob_store.unionByName(new)
 
     def blob(self, data_hash: str) -> bytes:
         row = blobs.get_blob(self.blob_store, data_hash).first()

@@ -159,6 +159,12 @@ def keywords(page: str, least: int = 1, most: int = 1 << 30) -> list[str]:
     return out
 
 
+@columnar("array<string>")
+def keywords_of(data: pd.Series) -> pd.Series:
+    """The keywords of each page in order, each once."""
+    return pd.Series([[] if d is None else list(dict.fromkeys(keywords(decode(d)))) for d in data])
+
+
 def tree(page: str) -> ElementTree.Element:
     """The page as an element tree; what is left open is closed at the end."""
     builder, depth = ElementTree.TreeBuilder(), []

@@ -108,5 +108,14 @@ def path(uri: Column) -> Column:
     return F.try_parse_url(uri, F.lit("PATH"))
 
 
+#: Second-level labels below which a country's registry hands out names.
+SECOND_LEVEL = ("ac", "co", "com", "edu", "gob", "gov", "govt", "id", "info", "ltd", "me", "mil", "ne", "net", "nom", "or", "org", "plc", "sch")
+
+
+def public_suffix(name: Column) -> Column:
+    """The suffix that names are registered under: the last label, or two (``co.uk``) below a country; null for null."""
+    return F.coalesce(F.nullif(F.regexp_extract(name, rf"\.((?:{'|'.join(SECOND_LEVEL)})\.[a-z]{{2}})$", 1), F.lit("")), F.substring_index(name, ".", -1))
+
+
 def robots_uri(uri: Column) -> Column:
     return F.concat(F.lower(F.try_parse_url(uri, F.lit("PROTOCOL"))), F.lit("://"), host(uri), F.lit("/robots.txt"))

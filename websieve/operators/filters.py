@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import QueryError
@@ -46,7 +48,7 @@ def host_of(uri: Column) -> Column:
     return F.lower(F.try_parse_url(uri, F.lit("HOST")))
 
 
-@page_filter("", cost=30, inputs=(TEXT,), form="word or \"phrase\"", about="text holds the word, in any case", hidden=False)
+@page_filter("", blank_reduces=False, cost=30, inputs=(TEXT,), form="word or \"phrase\"", about="text holds the word, in any case", hidden=False)
 def _text(leaf: Leaf, ctx) -> Match:
     return Match(has_lower(F.col("eval_text"), leaf.arg))
 
@@ -57,7 +59,7 @@ def _fragment(leaf: Leaf, ctx) -> Match:
     return Match(yes(F.exists("fragments", lambda f: f["tag"].isin(*CORE_TAGS) & F.contains(F.lower(f["text"]), F.lit(word)))))
 
 
-@page_filter("hash", cost=1, inputs=(RESULT,), form="hash:md5", about="the data has this md5")
+@page_filter("hash", blank_reduces=False, cost=1, inputs=(RESULT,), form="hash:md5", about="the data has this md5")
 def _hash(leaf: Leaf, ctx) -> Match:
     c = F.lower(F.col("data_hash"))
     return Match(yes(c == leaf.arg.lower()) if leaf.arg else c.isNotNull(), F.array(c))
@@ -87,7 +89,7 @@ def window_size(leaf: Leaf) -> int:
     return min(1000, max(1, int(leaf.arg))) if re.fullmatch(r"\d+", leaf.arg.strip()) else 1000
 
 
-@page_filter("filetype", cost=1, inputs=(RESULT,), form="filetype:type", about="the response's content type holds this")
+@page_filter("filetype", blank_reduces=False, cost=1, inputs=(RESULT,), form="filetype:type", about="the response's content type holds this")
 def _filetype(leaf: Leaf, ctx) -> Match:
     c = F.try_element_at("response", F.lit("content-type"))
     return Match(has(c, leaf.arg), one(c))
@@ -136,7 +138,7 @@ def _has(leaf: Leaf, ctx) -> Match:
     return Match(F.trim(F.coalesce(c, F.lit(""))) != "" if key else F.size("props") > 0, F.array(as_tag(c)))
 
 
-@page_filter("lang", cost=50, inputs=(TEXT,), form="lang:code", about="the detected language has this code", needs=("lang",))
+@page_filter("lang", blank_reduces=False, cost=50, inputs=(TEXT,), form="lang:code", about="the detected language has this code", needs=("lang",))
 def _lang(leaf: Leaf, ctx) -> Match:
     c = F.col("lang")
     return Match(yes(c == leaf.arg) if leaf.arg else c.isNotNull() & (c != ""), F.array(c))
@@ -195,24 +197,34 @@ def _random(leaf: Leaf, ctx) -> Match:
     return Match(draw < random_share(leaf))
 
 
-def _check_regex(leaf: Leaf) -> None:
+def regex_groups(pattern: str) -> int:
+    """How many groups a pattern has in the dialect that executors use; QueryError if it has a flaw.
+
+    The running session's JVM compiles it; without one, Python's dialect stands in.
+    """
+    spark = SparkSession.getActiveSession()
     try:
-        re.compile(leaf.arg.replace("(?<", "(?P<") if "(?<=" not in leaf.arg and "(?<!" not in leaf.arg else leaf.arg)
-    except re.error as e:
-        raise QueryError(f"regex: {e}") from e
+        if spark is None:
+            return re.compile(re.sub(r"\(\?<(?![=!])", "(?P<", pattern)).groups
+        return spark.sparkContext._jvm.java.util.regex.Pattern.compile(pattern).matcher("").groupCount()
+    except (re.error, Py4JError, PySparkException) as e:
+        raise QueryError(f"regex: {str(e).splitlines()[0]}") from e
+
+
+def _check_regex(leaf: Leaf) -> None:
+    regex_groups(leaf.arg)
 
 
-@page_filter("regex", cost=50, inputs=(TEXT,), form="regex:pattern", about="the text has a match; its groups become tags", check=_check_regex)
+@page_filter("regex", blank_reduces=False, cost=50, inputs=(TEXT,), form="regex:pattern", about="the text has a match; its groups become tags", check=_check_regex)
 def _regex(leaf: Leaf, ctx) -> Match:
     text = F.col("eval_text")
     if not leaf.arg:
         return Match(text.isNotNull())
-    groups = re.compile(re.sub(r"\(\?<(?![=!])", "(?P<", leaf.arg)).groups
-    found = F.array(*(as_tag(F.regexp_extract(text, leaf.arg, k)) for k in range(groups + 1)))
+    found = F.array(*(as_tag(F.regexp_extract(text, leaf.arg, k)) for k in range(regex_groups(leaf.arg) + 1)))
     return Match(yes(text.rlike(leaf.arg)), F.filter(found, lambda t: t != ""))
 
 
-@page_filter("site", cost=1, inputs=(RESULT,), form="site:host", about="the host holds this")
+@page_filter("site", blank_reduces=False, cost=1, inputs=(RESULT,), form="site:host", about="the host holds this")
 def _site(leaf: Leaf, ctx) -> Match:
     c = host_of(F.col("uri"))
     return Match(has(c, leaf.arg.lower()), one(c))
@@ -224,7 +236,7 @@ def _tag(leaf: Leaf, ctx) -> Match:
     return Match(yes(hit), F.array(as_tag(F.lit(leaf.arg))) if leaf.arg else F.col("tags"))
 
 
-@page_filter("title", cost=1, inputs=(RESULT,), form="title:text", about="the title holds this")
+@page_filter("title", blank_reduces=False, cost=1, inputs=(RESULT,), form="title:text", about="the title holds this")
 def _title(leaf: Leaf, ctx) -> Match:
     return Match(has(F.col("title"), leaf.arg))
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -33,6 +33,8 @@ STATE_CODES = (
     ("malformed", "M"), ("priority_too_low", "H"), ("blocked_by_robots", "R"), ("unsupported", "U"), ("probably_blocked", "P"), ("blocked_domain", "L"),
     ("bad_network", "N"), ("visited_recently", "V"), ("ip_seen_recently", "I"), ("chunk_too_high", "C"), ("out_of_scope", "S"),
 )
+#: Relative accuracy of percentiles is one part in this many.
+PERCENTILE_ACCURACY = 10_000
 ISSUES = ("unsupported", "blocked_domain", "probably_blocked", "malformed", "bad_ip", "out_of_scope", "ip_seen_recently")
 
 
@@ -89,11 +91,13 @@ def with_priority(links: DataFrame, seed: int = 0) -> DataFrame:
     """priority by the first rule that fits; random parts repeat for one seed.
 
     Ordinary links of an address count up from a base that the address draws; they are
-    numbered by a window over the address, whose chunks are bounded by the buffer in use.
+    numbered by a window over the address, whose chunks are bounded by the buffer in use. Other
+    links, those without an address among them, need no number and spread over all tasks.
     """
     plain = ~F.col("unsupported") & ~same_host() & ~F.col("blocked_domain") & ~F.col("probably_blocked") & ~F.col("visited_recently") & F.col("target_ip").isNotNull()
-    rank = F.row_number().over(Window.partitionBy("target_ip", plain).orderBy("target_uri", "source_uri")) - 1
-    return links.withColumn(
+    own = F.when(~plain, F.monotonically_increasing_id())
+    rank = F.row_number().over(Window.partitionBy("_ip", "_own").orderBy("target_uri", "source_uri")) - 1
+    return links.withColumns({"_own": own, "_ip": F.when(plain, F.col("target_ip"))}).withColumn(
         "priority",
         F.when(F.col("unsupported"), F.lit(UNSUPPORTED))
         .when(same_host(), _draw(seed, *SAME_HOST, "source_uri", "target_uri"))
@@ -103,7 +107,7 @@ def with_priority(links: DataFrame, seed: int = 0) -> DataFrame:
         .when(F.col("target_ip").isNull(), F.lit(NO_PRIORITY))
         .otherwise(_draw(seed, *BASE, "target_ip") + rank)
         .cast("bigint"),
-    )
+    ).drop("_own", "_ip")
 
 
 def same_host() -> Column:
@@ -151,9 +155,9 @@ def rule_regex(pattern: str) -> str:
 
 
 def rule_regex_column(pattern: Column) -> Column:
-    """rule_regex inside a plan."""
-    body = F.regexp_replace(pattern, r"\$$", "")
-    body = F.regexp_replace(F.concat(F.lit("\\Q"), body, F.lit("\\E")), r"\*", "\\\\E.*\\\\Q")
+    """rule_regex inside a plan; each character with a meaning of its own is escaped."""
+    body = F.regexp_replace(F.regexp_replace(pattern, r"\$$", ""), r"([\\\[\](){}.+?^$|])", r"\\$1")
+    body = F.regexp_replace(body, r"\*", ".*")
     return F.concat(F.lit("^"), body, F.when(F.endswith(pattern, F.lit("$")), "$").otherwise(""))
 
 
@@ -174,6 +178,25 @@ def blocked_by_robots(links: DataFrame, rules: DataFrame, agent: str) -> DataFra
     return joined.withColumn("blocked_by_robots", F.coalesce(hit, F.lit(False))).drop("_host", "_rules", "_target")
 
 
+def nth_link(links: DataFrame, n: int) -> Row | None:
+    """priority and target_uri of the n-th link by both, null priorities last; None if there are fewer.
+
+    Approximate percentiles close in on its priority, an exact count says how many links come
+    before, and only links between them are put in order.
+    """
+    known = links.where("priority is not null").select("priority", "target_uri")
+    total = known.count()
+    if n > total:
+        return None
+    share, slack = n / total, 2 / PERCENTILE_ACCURACY
+    low, high = known.agg(F.percentile_approx("priority", [max(0.0, share - slack), min(1.0, share + slack)], PERCENTILE_ACCURACY)).first()[0]
+    before, upto = known.agg(F.count_if(F.col("priority") < low), F.count_if(F.col("priority") <= high)).first()
+    if not before < n <= upto:
+        low, high, before = None, None, 0
+    near = known if low is None else known.where(F.col("priority").between(low, high))
+    return near.orderBy("priority", "target_uri").offset(n - before - 1).limit(1).first()
+
+
 def decide(links: DataFrame, settings: Settings = Settings(), *, quota_left: int | None = None) -> DataFrame:
     """status accepted or discarded, and the reason, by the first rule that fits.
 
@@ -195,7 +218,7 @@ def decide(links: DataFrame, settings: Settings = Settings(), *, quota_left: int
         .when(flag("blocked_by_robots"), "robots")
     )
     if quota_left is not None:
-        last = links.select("priority", "target_uri").orderBy("priority", "target_uri").offset(max(0, quota_left - 1)).limit(1).first()
+        last = nth_link(links, quota_left) if quota_left > 0 else None
         over = F.lit(quota_left <= 0)
         if last is not None and quota_left > 0:
             over = (F.col("priority") > last.priority) | ((F.col("priority") == last.priority) & (F.col("target_uri") > last.target_uri))
@@ -215,6 +238,11 @@ def encode_links(df: DataFrame) -> DataFrame:
     return df.select(F.concat_ws("\t", state_code(df), text("priority"), text("target_uri"), text("source_uri"), F.coalesce(F.col("target_ip"), F.lit("255.255.255.255")), text("chunk_sequence")).alias("value"))
 
 
+def write_outbox(links: DataFrame, path: str, *, mode: str = "error") -> None:
+    """Links outside this server's range, as lines that other servers read with decode_links."""
+    encode_links(links.where("out_of_scope")).write.mode(mode).text(path)
+
+
 def decode_links(lines: DataFrame) -> DataFrame:
     """Links of such lines; lines with too few fields or no numeric priority are left out."""
     p = F.split("value", "\t")
@@ -226,6 +254,8 @@ def decode_links(lines: DataFrame) -> DataFrame:
     ).where("priority is not null and target_uri <> ''")
 
 
-def sample_links(pages: DataFrame, links_col: str = "links", settings: Settings = Settings()) -> Column:
-    """Up to links_per_page links at random of the first links_considered."""
-    return F.slice(F.shuffle(F.slice(F.col(links_col), 1, settings.links_considered)), 1, settings.links_per_page)
+def sample_links(links_col: str = "links", settings: Settings = Settings(), seed: int = 0) -> Column:
+    """Up to links_per_page links of the first links_considered, the same ones each time for one seed."""
+    first = F.slice(F.col(links_col), 1, settings.links_considered)
+    drawn = F.array_sort(F.transform(first, lambda x, i: F.struct(F.xxhash64(F.lit(seed), x, i).alias("draw"), x.alias("link"))))
+    return F.transform(F.slice(drawn, 1, settings.links_per_page), lambda x: x["link"])

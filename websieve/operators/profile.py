@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.content import failure_class, failure_type, guess_type, headers
-from ..functions.urls import host
+from ..functions.urls import host, public_suffix
 
 DIMENSIONS = ("exception", "tld", "host", "content_type", "encoding", "language")
 
@@ -25,7 +25,7 @@ def described(resources: DataFrame) -> DataFrame:
     given = F.nullif(F.try_element_at("_resp", F.lit("content-type")), F.lit(""))
     kind = F.when(given.isNotNull(), given).when(F.col("data").isNotNull(), F.concat(F.lit("(GUESS) "), guess_type(F.col("data"))))
     return df.select(
-        "*", h.alias("host"), F.regexp_extract(h, r"([^.]+)$", 1).alias("tld"), kind.alias("content_type"), F.try_element_at("_resp", F.lit("content-encoding")).alias("encoding"),
+        "*", h.alias("host"), public_suffix(h).alias("tld"), kind.alias("content_type"), F.try_element_at("_resp", F.lit("content-encoding")).alias("encoding"),
         F.try_element_at("_resp", F.lit("content-language")).alias("language"), seconds(F.try_element_at("_req", F.lit("responsetime"))).alias("response_s"),
     ).drop("_req", "_resp")
 

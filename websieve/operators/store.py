@@ -7,6 +7,7 @@ returns the new set, to be written over the old one partition-wise (``save``).
 from __future__ import annotations
 
 from dataclasses import dataclass
+from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,10 +24,11 @@ OWNER, MANAGE, READ, WRITE = 1, 2, 4, 8
 def upsert(store: DataFrame, incoming: DataFrame, now: Column | None = None) -> DataFrame:
     """Incoming rows replace those of their key or are added.
 
-    created stays; updated becomes now for new rows and for those whose data hash changed.
+    created stays; updated becomes now for new rows and for those whose data hash changed. now
+    is the time of the call unless given, and stays so however often the result is read.
     Equal keys in the store and in incoming are expected to be unique.
     """
-    stamp = now if now is not None else F.current_timestamp()
+    stamp = now if now is not None else F.lit(datetime.now(timezone.utc))
     old, new = store.alias("o"), incoming.alias("n")
     on = [F.col(f"o.{k}") == F.col(f"n.{k}") for k in KEY]
     fresh, known = F.col("n.uri_hash").isNotNull(), F.col("o.uri_hash").isNotNull()

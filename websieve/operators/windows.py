@@ -43,17 +43,16 @@ def _in_order(df: DataFrame, value: Column, order_col: str, keep: Callable[[], C
     """Rows whose value keep() accepts, asked in order.
 
     The memory is one sequence over all rows, so one task has to see them; only the order and
-    a 64-bit digest of the value go through it, a batch at a time, and the rows themselves are
-    picked by a semi join.
+    the value go through it, a batch at a time, and the rows themselves are picked by a semi join.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         accepts = keep()
         for batch in batches:
-            mask = pa.array([accepts(v) != exclude for v in batch.column(1).to_pylist()], pa.bool_())
+            mask = pa.array([accepts(tuple(v.items()) if isinstance(v, dict) else v) != exclude for v in batch.column(1).to_pylist()], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask)], [order_col])
 
-    thin = df.select(F.col(order_col), F.xxhash64(value).alias("value")).repartition(1).sortWithinPartitions(order_col)
+    thin = df.select(F.col(order_col), value.alias("value")).repartition(1).sortWithinPartitions(order_col)
     kind = df.schema[order_col].dataType.simpleString()
     return df.join(thin.mapInArrow(run, f"`{order_col}` {kind}"), order_col, "left_semi")
 

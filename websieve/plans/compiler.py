@@ -8,7 +8,7 @@ a page rejected earlier must not enter their memory.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame
@@ -200,8 +200,15 @@ class Compiled:
         return df.withColumn(tag_col, self.tags())
 
 
-def compile_query(text: str | PageQuery, ctx: Context | None = None) -> Compiled:
+def only_reducing(query: PageQuery) -> PageQuery:
+    """The query without filters that let everything with a value pass; an OR stays for either side."""
+    return replace(query, filters=tuple(f for f in query.filters if any(map(registry.reduces, leaves(f)))))
+
+
+def compile_query(text: str | PageQuery, ctx: Context | None = None, *, reducing: bool = False) -> Compiled:
+    """A query ready to apply; with ``reducing``, of its filters only those that reduce what passes."""
     query = text if isinstance(text, PageQuery) else parse(text)
+    query = only_reducing(query) if reducing else query
     compiled = Compiled(query, ctx or Context())
     compiled.parts  # noqa: B018  raises what is wrong with the query now
     return compiled

@@ -26,7 +26,8 @@ class Predicate:
     """A registered predicate.
 
     build(leaf, context) gives a Match. ``needs`` names derived columns that the planner adds
-    only if a query uses them; ``stateful`` predicates look at rows in order.
+    only if a query uses them; ``stateful`` predicates look at rows in order. A predicate
+    reduces what passes, unless its argument is blank and ``blank_reduces`` says otherwise.
     """
 
     name: str
@@ -38,7 +39,7 @@ class Predicate:
     functional: bool = False
     needs: frozenset[str] = frozenset()
     stateful: bool = False
-    reducing: bool = True
+    blank_reduces: bool = True
     hidden: bool = False
     check: Callable[[Leaf], None] | None = field(default=None)
 
@@ -62,5 +63,9 @@ def find(name: str) -> Predicate:
     return _BY_NAME[name]
 
 
+def reduces(leaf: Leaf) -> bool:
+    return bool(leaf.arg.strip()) or find(leaf.name).blank_reduces
+
+
 def listing(include_hidden: bool = False) -> list[Predicate]:
     return [p for _, p in sorted(_BY_NAME.items()) if include_hidden or not p.hidden]

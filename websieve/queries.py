@@ -12,10 +12,10 @@ from .functions import content, scalars, urls
 from .functions.hashing import HashRange
 from .functions.html import html_view, pick_fragments, xpath_matches
 from .functions.language import detect_language
-from .operators import classify, frontier, profile, store, windows
+from .operators import classify, consumers, frontier, profile, store, windows
 from .operators.standing import Standing
 from .plans.compiler import Context, compile_query, distill
-from .sources import blobs, packets
+from .sources import blobs, feeds, packets
 from .sources.pages import build_pages, from_packets, from_raw_pages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -538,3 +538,169 @@ def category_counts(spark, sf_dir):
 @query("SELECT conv_id, string_agg(role || ' ' || text, ' ' ORDER BY turn) AS text FROM conversations GROUP BY conv_id")
 def training_text(spark, sf_dir):
     return classify.training_text(table(spark, sf_dir, "conversations"), "conv_id", "role", "text", "turn")
+
+
+# More filters, consumers and sinks
+
+
+@query(STORE + "SELECT workspace_id, sequence, 'eve' AS tags FROM s WHERE contains(tags, 'even')")
+def tag_filter(spark, sf_dir):
+    hits = compile_query("tag:EVE tag::eve").apply(result_store(spark, sf_dir).withColumn("query_tags", F.array().cast("array<string>")))
+    return hits.select("workspace_id", "sequence", F.array_join("query_tags", "|").alias("tags"))
+
+
+@query("SELECT page_id AS id, 'France|IDF' AS tags FROM pages WHERE page_id % 5 = 2")
+def geo_country_subdivision(spark, sf_dir):
+    ranges = spark.createDataFrame([((n << 24), (n << 24) + (1 << 20), *rest) for n, *rest in _GEO], "ip_from bigint, ip_to bigint, city string, country string, subdivision string, lat double, lon double")
+    pages = pages_of(spark, sf_dir).withColumn("ip", F.concat((F.col("seq") % 5).cast("string"), F.lit(".0.7.9")))
+    return found(compile_query("geo-ip-subdivision:ID geo-ip-country:France geo-ip-country::* geo-ip-subdivision::*", Context(geo=ranges)).apply(pages), tags=True)
+
+
+@query(f"SELECT page_id AS id FROM pages WHERE contains({TITLE}, 'the')")
+def only_reducing_filters(spark, sf_dir):
+    """title:* and site:* let every page with a value pass, so that they aren't compiled."""
+    return found(compile_query("site:* title:the", reducing=True).apply(pages_of(spark, sf_dir)))
+
+
+@query("SELECT page_id, url AS uri FROM pages")
+def consume_uris(spark, sf_dir):
+    return consumers.consume("uris", packet_rows(spark, sf_dir)).select(F.col("pos").alias("page_id"), "uri")
+
+
+@query("SELECT page_id, '/s' || page_id || '.js' AS script FROM pages WHERE page_id % 7 <> 0 AND page_id % 10 <> 5")
+def consume_scripts(spark, sf_dir):
+    """Types by header, or by the first bytes where there is no header; images have no scripts."""
+    rows = packet_rows(spark, sf_dir).withColumn("data", F.concat("data", F.lit("<script src='/s"), F.col("pos").cast("string"), F.lit(".js'></script>")).cast("binary"))
+    rows = rows.withColumn("header", F.when(F.col("pos") % 10 == 5, "Content-Type: image/png\n").otherwise(F.col("header")))
+    return consumers.consume("scripts", rows).where("script <> ''").select(F.col("pos").alias("page_id"), "script")
+
+
+@query("SELECT page_id, CASE WHEN page_id % 10 = 0 THEN 'text' ELSE 'text' END AS tag, regexp_replace(url, '#.*$', '') AS target_uri FROM pages WHERE page_id % 7 <> 0")
+def consume_text_links(spark, sf_dir):
+    """Bare addresses of plain text, whose type is given for some resources and guessed for others."""
+    rows = packet_rows(spark, sf_dir)
+    own = F.try_element_at(content.headers(F.col("request")), F.lit("uri"))
+    rows = rows.withColumn("data", F.when(F.col("data").isNotNull(), F.concat(F.lit("see "), own, F.lit(" there")).cast("binary"))).withColumn("header", F.when(F.col("pos") % 10 != 0, "Content-Type: text/plain\n").otherwise(""))
+    return consumers.consume("links", rows).select(F.col("pos").alias("page_id"), "tag", "target_uri")
+
+
+@query()
+def consume_keywords(spark, sf_dir):
+    return consumers.consume("keywords", packet_rows(spark, sf_dir)).select("uri", "place.pos", "place.at", "keyword")
+
+
+@query(f"""SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'co.uk' WHEN 1 THEN 'com.au' WHEN 2 THEN 'uk' ELSE regexp_extract({HOST}, '([^.]+)$', 1) END AS suffix FROM pages""")
+def public_suffixes(spark, sf_dir):
+    n = F.col("page_id") % 4
+    name = F.when(n == 0, "www.a-b.co.uk").when(n == 1, "x.com.au").when(n == 2, "co.uk").otherwise(urls.host(F.col("url")))
+    return table(spark, sf_dir, "pages").select("page_id", urls.public_suffix(name).alias("suffix"))
+
+
+@query(f"""SELECT 'exception' AS dimension, 'System.TimeoutException' AS value, count(*) AS n FROM pages WHERE page_id % 7 = 0
+          UNION ALL SELECT 'encoding', 'gzip', count(*) FROM pages WHERE page_id % 10 <> 0
+          UNION ALL SELECT 'language', 'l' || (page_id % 3), count(*) FROM pages GROUP BY 2
+          UNION ALL SELECT 'host', {HOST}, count(*) FROM pages GROUP BY 2
+          UNION ALL SELECT 'tld', regexp_extract({HOST}, '([^.]+)$', 1), count(*) FROM pages GROUP BY 2
+          UNION ALL SELECT 'content_type', CASE WHEN page_id % 10 <> 0 THEN 'text/html' ELSE '(GUESS) text/html' END, count(*) FROM pages WHERE page_id % 10 <> 0 OR page_id % 7 <> 0 GROUP BY 2""")
+def packet_frequencies_all(spark, sf_dir):
+    rows = packet_rows(spark, sf_dir)
+    return consumers.consume("tables", rows.withColumn("header", F.concat("header", F.lit("Content-Language: l"), (F.col("pos") % 3).cast("string"), F.lit("\n"))))
+
+
+@query(f"""WITH r AS (SELECT page_id % 7 = 0 AS failed, page_id % 10 = 0 AS bare, {HOST} AS host, strlen(html) AS size, page_id % 4 + 0.5 AS took,
+                             strlen('Uri: ' || url || chr(10) || 'ResponseTime: 00:00:0' || (page_id % 4) || '.5' || chr(10)) AS req FROM pages)
+           SELECT count(*) AS resources, count(*) FILTER (WHERE failed) AS failures, count(*) FILTER (WHERE failed) * 100.0 / count(*) AS failure_percent, CAST(sum(req) AS BIGINT) AS request_bytes,
+                  CAST(sum(CASE WHEN bare THEN 0 ELSE strlen('Content-Type: text/html' || chr(10) || 'Content-Encoding: gzip' || chr(10)) END) AS BIGINT) AS header_bytes,
+                  CAST(sum(CASE WHEN failed THEN 0 ELSE size END) AS BIGINT) AS data_bytes, avg(size) FILTER (WHERE NOT failed) AS average_bytes, avg(took) AS average_response_s, count(DISTINCT host) AS hosts,
+                  count(DISTINCT CASE WHEN NOT bare THEN 'text/html' WHEN NOT failed THEN 'guess' END) AS content_types FROM r""")
+def packet_totals_all(spark, sf_dir):
+    return consumers.consume("totals", packet_rows(spark, sf_dir))
+
+
+@query(SQL["packet_round_trip"])
+def packet_stream(spark, sf_dir):
+    """Packets read as a stream, some files at a time, into a table."""
+    path, out = scratch.folder(spark, "packets"), scratch.folder(spark, "streamed")
+    rows = packet_rows(spark, sf_dir).withColumn("request", F.concat("request", F.lit("Pos: "), F.col("pos").cast("string")))
+    packets.write_packets(rows, path)
+    stream = packets.stream_packets(spark, path, glob="*.gz", files_per_batch=2)
+    stream.writeStream.format("parquet").option("checkpointLocation", scratch.folder(spark, "progress")).trigger(availableNow=True).start(out).awaitTermination()
+    back = spark.read.schema(stream.schema).parquet(out)
+    return back.select(F.try_element_at(content.headers(F.col("request")), F.lit("pos")).cast("bigint").alias("pos"), F.md5("data").alias("data_hash"), F.nullif("exception", F.lit("")).alias("exception"))
+
+
+@query("SELECT url AS target_uri FROM pages WHERE md5(url) >= '80000000000000000000000000000000'")
+def outbox(spark, sf_dir):
+    path = scratch.folder(spark, "outbox")
+    own = table(spark, sf_dir, "pages").select(F.lit(None).cast("string").alias("source_uri"), F.col("url").alias("target_uri"), F.lit("9.8.7.6").alias("target_ip"))
+    links = frontier.early_flags(own, HashRange().split([0.5, 0.5])[0]).withColumn("visited_recently", F.lit(False))
+    frontier.write_outbox(frontier.with_chunk_sequence(frontier.with_priority(links)), path)
+    return frontier.decode_links(spark.read.text(path)).select("target_uri")
+
+
+@query("""SELECT page_id, CASE WHEN page_id * 20000 > 1000000 THEN 'length exceeds 1000000' WHEN page_id % 5 = 0 THEN 'adult rating'
+                 WHEN page_id % 4 = 0 THEN 'content type image/png' WHEN page_id % 4 = 2 THEN 'content type audio/x' END AS reason FROM pages""")
+def block_reasons(spark, sf_dir):
+    n = F.col("page_id")
+    kind = F.when(n % 4 == 0, "image/png").when(n % 4 == 1, "text/html").when(n % 4 == 2, "audio/x")
+    response = F.create_map(F.lit("content-type"), kind, F.lit("rating"), F.when(n % 5 == 0, F.lit(content.ADULT_RATING)))
+    return table(spark, sf_dir, "pages").select("page_id", content.block_reason(n * 20_000, response).alias("reason"))
+
+
+@query(f"SELECT host, max(page_id) AS last, bool_or(page_id % 2 = 0) AS fresh FROM (SELECT {HOST} AS host, page_id FROM pages) GROUP BY host")
+def upsert_sites(spark, sf_dir):
+    """Sites by host: those of even pages replace stored ones of the same host."""
+    pages = table(spark, sf_dir, "pages").select(urls.host(F.col("url")).alias("host"), "page_id")
+    last = pages.groupBy("host").agg(F.max("page_id").alias("last"))
+    even = pages.where("page_id % 2 = 0").select("host").distinct()
+    stored = last.withColumn("fresh", F.lit(False))
+    return store.upsert_by(stored, last.join(even, "host", "left_semi").withColumn("fresh", F.lit(True)), "host")
+
+
+@query("SELECT url AS uri, 't' || page_id AS title, CASE WHEN page_id % 3 <> 2 THEN 1700000000 + page_id END AS created FROM pages")
+def link_feed(spark, sf_dir):
+    """Epochs, written dates and dates that can't be read."""
+    path, n = scratch.folder(spark, "feed"), F.col("page_id")
+    stamp = F.when(n % 3 == 0, (n + 1_700_000_000).cast("string")).when(n % 3 == 1, F.date_format(F.timestamp_seconds(n + 1_700_000_000), "yyyy-MM-dd HH:mm:ss")).otherwise("soon")
+    table(spark, sf_dir, "pages").select("url", F.concat(F.lit("t"), n.cast("string")).alias("title"), stamp.alias("created_utc")).write.json(path)
+    return feeds.read_links(spark, path).select("uri", "title", F.unix_timestamp("created").alias("created"))
+
+
+@query("""SELECT page_id AS id, least(len(l), 3) AS n, true AS own FROM (SELECT page_id, list_distinct(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS l FROM pages)""")
+def sampled_links(spark, sf_dir):
+    """How many links a page's sample has, and whether all are the page's and differ."""
+    from .config import Settings
+
+    links = F.array_distinct(F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), 1))
+    pages = table(spark, sf_dir, "pages").select("page_id", links.alias("links"))
+    some = pages.select("page_id", "links", frontier.sample_links(settings=Settings(links_per_page=3)).alias("some"))
+    return some.select(F.col("page_id").alias("id"), F.size("some").cast("bigint").alias("n"), (F.size(F.array_except("some", "links")) == 0).alias("own"))
+
+
+@query("""SELECT p_partkey, least(greatest(p_size, 10), 30) AS limited, (p_partkey & 6) <> 0 AS flagged, split_part(p_name, ' ', 1) AS first, p_brand || 'xy' AS cleaned, md5(p_name) AS packed,
+                 '0,0,' || p_size AS padded, p_size || ',0' AS widened FROM part""")
+def more_scalar_functions(spark, sf_dir):
+    from .sources.packets import gunzip, gzipped
+
+    size, name = F.col("p_size"), F.col("p_name")
+    own = F.array(size.cast("int"))
+    return table(spark, sf_dir, "part").select(
+        "p_partkey", scalars.constrain(size, 10, 30).alias("limited"), scalars.any_flag(F.col("p_partkey"), 6).alias("flagged"), scalars.chop(name, " ").alias("first"),
+        scalars.clean_for_xml(F.concat("p_brand", F.lit("x\x01\x0by"))).alias("cleaned"), F.md5(gunzip(gzipped(name.cast("binary")))).alias("packed"),
+        F.array_join(scalars.pad_left(own, 3, 0), ",").alias("padded"), F.array_join(scalars.pad_right(own, 2, 0), ",").alias("widened"),
+    )
+
+
+@query("SELECT page_id, regexp_extract(url, '^[a-z]+://[^/]*', 0) || '/robots.txt' AS robots FROM pages")
+def robots_addresses(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", urls.robots_uri(F.col("url")).alias("robots"))
+
+
+@query("""WITH p AS (SELECT html FROM pages ORDER BY page_id LIMIT 1), t AS (SELECT unnest(regexp_extract_all(html, '<a href="[^"]*">([^<]*)</a>', 1)) AS text, generate_subscripts(regexp_extract_all(html, '<a href="[^"]*">([^<]*)</a>', 1), 1) AS k, md5(html) AS data_hash FROM p),
+          d AS (SELECT data_hash, text, min(k) AS k FROM t GROUP BY 1, 2)
+          SELECT data_hash, row_number() OVER (ORDER BY k) - 1 AS pos, text FROM d""")
+def blob_link_texts(spark, sf_dir):
+    """The link texts of one stored page, each once."""
+    pages = table(spark, sf_dir, "pages").select("page_id", F.col("html").cast("binary").alias("data"))
+    digest = pages.orderBy("page_id").select(F.md5("data")).first()[0]
+    return blobs.page_text(blobs.blob_rows(pages), digest, "links").select("data_hash", F.col("pos").cast("bigint").alias("pos"), "text")

@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from ..functions.columnar import columnar
 
-MAX_RESOURCES = 500_000
 ROW = "file string, pos long, request string, header string, data binary, exception string, error string"
+FILE = "path string, modificationTime timestamp, length long, content binary"
 _SAFE = "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]"
 
 
@@ -29,9 +29,9 @@ def is_gzip(head: bytes) -> bool:
     return head[:2] == b"\x1f\x8b" and len(head) >= 10 and head[2] == 8
 
 
-def resources_of(content: bytes, most: int = MAX_RESOURCES) -> Iterator[tuple]:
+def resources_of(content: bytes, most: int | None = None) -> Iterator[tuple]:
     """(pos, request, header, data, exception, error); what is cut off or broken ends the packet
-    with a row that holds only the error."""
+    with a row that holds only the error, and so does a packet's ``most`` resources, if given."""
     stream = gzip.GzipFile(fileobj=io.BytesIO(content)) if is_gzip(content[:16]) else io.BytesIO(content)
     pos, parser = 0, ElementTree.XMLPullParser(events=("start", "end"))
     stack: list = []
@@ -49,29 +49,44 @@ def resources_of(content: bytes, most: int = MAX_RESOURCES) -> Iterator[tuple]:
                     pos += 1
                     if stack:
                         stack[-1].remove(e)
-                    if pos >= most:
-                        return
+                    if most is not None and pos >= most:
+                        raise ValueError(f"only the first {most} resources were read")
         parser.close()
     except (ElementTree.ParseError, EOFError, zlib.error, OSError, ValueError) as error:
         yield pos, None, None, None, None, f"{type(error).__name__}: {error}"
 
 
-def read_packets(spark: SparkSession, path: str | list[str], *, glob: str | None = None, recursive: bool = True, keep_errors: bool = False) -> DataFrame:
+def read_packets(spark: SparkSession, path: str | list[str], *, glob: str | None = None, recursive: bool = True, keep_errors: bool = False, most: int | None = None) -> DataFrame:
     """Rows file, pos, request, header, data, exception of all packets below a path.
 
     Packets are parsed where Spark reads them. A packet's rows up to a defect are kept; with
-    keep_errors a row tells what the defect was.
+    keep_errors a row tells what the defect was. ``most`` resources are read of a packet, all
+    by default; a row of keep_errors tells where some are left out.
     """
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    files = reader.load(path).select("path", "content")
+    reader = _options(spark.read, glob, recursive)
+    return parsed(reader.load(path), keep_errors, most)
+
+
+def stream_packets(spark: SparkSession, path: str, *, glob: str | None = None, recursive: bool = True, keep_errors: bool = False, most: int | None = None, files_per_batch: int = 16) -> DataFrame:
+    """The same rows of packets as they arrive below a path, some files at a time."""
+    reader = _options(spark.readStream, glob, recursive).schema(FILE).option("maxFilesPerTrigger", files_per_batch)
+    return parsed(reader.load(path), keep_errors, most)
+
+
+def _options(reader, glob: str | None, recursive: bool):
+    reader = reader.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
+    return reader.option("pathGlobFilter", glob) if glob else reader
+
+
+def parsed(files: DataFrame, keep_errors: bool, most: int | None) -> DataFrame:
+    """Packet rows of files (path, content)."""
+    files = files.select("path", "content")
 
     def run(batches):
         for batch in batches:
             for name, content in zip(batch.column(0), batch.column(1)):
                 rows, held = [], 0
-                for row in resources_of(content.as_py()):
+                for row in resources_of(content.as_py(), most):
                     rows.append((name.as_py(), *row))
                     held += len(row[3] or b"")
                     if held > 8 << 20:
