@@ -14,9 +14,9 @@ HTML = b"<html><head><title>T</title><script>var t='</p>secret'</script></head><
 @pytest.fixture(scope="module")
 def pages(spark):
     rows = [
-        {"seq": 1, "uri_hash": "aa", "uri": "https://www.reddit.com/r/A", "title": "One title", "tags": ["red fox"], "data_hash": "ABC", "request": {"referer": "http://r.example.org"}, "response": {"content-type": "text/html"},
-         "props": {"og_type": "article"}, "eval_text": "Hello World coffee is the elixir of life", "data": HTML, "ip": "1.0.0.9", "lang": "en"},
-        {"seq": 2, "uri_hash": "bb", "uri": "https://en.wikipedia.org/wiki/B", "title": None, "tags": [], "data_hash": "abd", "request": {}, "response": {}, "props": {"og_type": " "}, "eval_text": "", "data": None, "ip": None, "lang": None},
+        {"seq": 1, "uri_hash": "aa", "uri": "https://www.boards.example/t/A", "title": "One title", "tags": ["red fox"], "data_hash": "ABC", "request": {"referer": "http://r.example.org"}, "response": {"content-type": "text/html"},
+         "props": {"og_type": "article"}, "eval_text": "Hello World copper is the metal of wires", "data": HTML, "ip": "1.0.0.9", "lang": "en"},
+        {"seq": 2, "uri_hash": "bb", "uri": "https://lex.example.org/entry/B", "title": None, "tags": [], "data_hash": "abd", "request": {}, "response": {}, "props": {"og_type": " "}, "eval_text": "", "data": None, "ip": None, "lang": None},
         {"seq": 3, "uri_hash": "cc", "uri": None, "title": None, "tags": None, "data_hash": None, "request": None, "response": None, "props": None, "eval_text": None, "data": None, "ip": "10.0.0.1", "lang": "fr"},
     ]
     schema = PAGE_SCHEMA.replace("fragments array<struct<tag:string,text:string>>, ", "") + ", lang string"
@@ -27,10 +27,10 @@ def pages(spark):
 @pytest.mark.parametrize(
     ("text", "ids"),
     [
-        ("hello", [1]), ("HELLO", [1]), ("-hello", [2, 3]), ('"elixir of"', [1]), ("text:hello", [1]), ("text:world", []), ("text:secret", []), ("hash:abc", [1]), ("hash:", []), ("filetype:html", [1]),
-        ("site:reddit.com OR site:wikipedia.org OR site:news.com.au", [1, 2]), ("site:REDDIT", [1]), ("uri:/r/A", [1]), ("uri:/r/a", []), ("title:One", [1]), ("title:one", []),
+        ("hello", [1]), ("HELLO", [1]), ("-hello", [2, 3]), ('"metal of"', [1]), ("text:hello", [1]), ("text:world", []), ("text:secret", []), ("hash:abc", [1]), ("hash:", []), ("filetype:html", [1]),
+        ("site:boards.example OR site:lex.example.org OR site:press.example.net", [1, 2]), ("site:BOARDS", [1]), ("uri:/t/A", [1]), ("uri:/t/a", []), ("title:One", [1]), ("title:one", []),
         ("tag:FOX", [1]), ("has:og_type", [1]), ("has:title", [1]), ("has:nothing", []), ("property(og_type):ART", [1]), ("request-header(Referer):example", [1]), ("response-header(content-type):HTML", [1]),
-        ("lang:fr", [3]), ("regex:c[a-z]+e", [1]), ("xpath://a[@href]", [1]), ("xpath://h1", []), ("xpath://a/@href", [1]), ("random:0.5", []), ("", []), ("lang::*", []), ("-title:One -site:wiki", [3]),
+        ("lang:fr", [3]), ("regex:c[a-z]+r", [1]), ("xpath://a[@href]", [1]), ("xpath://h1", []), ("xpath://a/@href", [1]), ("random:0.5", []), ("", []), ("lang::*", []), ("-title:One -site:lex", [3]),
     ],
 )
 def test_predicates(pages, text, ids):
@@ -40,8 +40,8 @@ def test_predicates(pages, text, ids):
 @pytest.mark.parametrize(
     ("text", "tags"),
     [
-        ("hello site::*", ["www.reddit.com"]), ("hello lang::* lang::*", ["en"]), ("hello lang:en:* title::*", ["en"]), ('hello "regex::(elixir) of"', ["elixir_of", "elixir"]),
-        ("hello has::og_type property(og_type)::*", ["article"]), ("hello tag::red", ["red"]), ("lang:en OR lang:fr uri::*", ["https://www.reddit.com/r/A"]),
+        ("hello site::*", ["www.boards.example"]), ("hello lang::* lang::*", ["en"]), ("hello lang:en:* title::*", ["en"]), ('hello "regex::(metal) of"', ["metal_of", "metal"]),
+        ("hello has::og_type property(og_type)::*", ["article"]), ("hello tag::red", ["red"]), ("lang:en OR lang:fr uri::*", ["https://www.boards.example/t/A"]),
     ],
 )
 def test_tags(pages, text, tags):
@@ -59,7 +59,7 @@ def test_geo(spark, pages):
 
 
 def test_model(spark, pages):
-    rows = spark.createDataFrame([("coffee tea milk drink", "drink")] * 6 + [("car bus train road", "travel")] * 6, "text string, category string")
+    rows = spark.createDataFrame([("copper iron tin metal", "metal")] * 6 + [("car bus train road", "travel")] * 6, "text string, category string")
     ctx = Context(models={"m": train(rows, features=256)})
-    assert [r.query_tags for r in compile_query("ml-model(m,0.5):drink ml-model(m,any)::* coffee", ctx).apply(pages).collect()] == [["drink"]]
-    assert compile_query("ml-model(m,1.0):drink", ctx).apply(pages).count() == 0
+    assert [r.query_tags for r in compile_query("ml-model(m,0.5):metal ml-model(m,any)::* copper", ctx).apply(pages).collect()] == [["metal"]]
+    assert compile_query("ml-model(m,1.0):metal", ctx).apply(pages).count() == 0
