@@ -62,7 +62,7 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     groups = staged(exact_dedup(docs, id_col, text_col, **kw).where("group_size > 1"), "groups")
     rows = docs.withColumn(digest, F.sha2(normalised(F.col(text_col)).cast("binary"), 256))
     names = fresh_name(rows, "gone_digest"), fresh_name(rows, "gone_id")
-    gone = groups.where("not kept").select("text_sha256", "doc_id").distinct().toDF(*names)
+    gone = groups.where("not kept").select("text_sha256", "doc_id").distinct().toDF(*names).hint("merge")  # grows with the input
     rows = rows.join(gone, (F.col(digest) == F.col(names[0])) & F.col(id_col).eqNullSafe(F.col(names[1])), "left_anti")
     again = groups.where("kept").groupBy("text_sha256").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("text_sha256")
     return one_of_each(rows, digest, again).select(*docs.columns)

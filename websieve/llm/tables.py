@@ -85,12 +85,15 @@ def fresh_name(df: DataFrame, name: str) -> str:
 
 
 def left_join(rows: DataFrame, right: DataFrame, *keys: str) -> DataFrame:
-    """A left join whose rows with a null key spread over all tasks instead of meeting in one."""
+    """A left join whose rows with a null key spread over all tasks instead of meeting in one.
+
+    Both sides grow with the input, so it is a sort-merge join at every size.
+    """
     extra, null = fresh_name(rows, "spread"), F.lit(False)
     for k in keys:
         null = null | F.col(k).isNull()
     apart = F.when(null, F.monotonically_increasing_id()).otherwise(F.lit(0).cast("long"))
-    return rows.withColumn(extra, apart).join(right.withColumn(extra, F.lit(0).cast("long")), [*keys, extra], "left").drop(extra)
+    return rows.withColumn(extra, apart).join(right.withColumn(extra, F.lit(0).cast("long")).hint("merge"), [*keys, extra], "left").drop(extra)
 
 
 def one_of_each(rows: DataFrame, key: str, again: DataFrame) -> DataFrame:

@@ -199,7 +199,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     d = keyed(docs, id_col, text_col)
     known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")).where("doc_id is not null and label in (0, 1)")
     known = known.groupBy("doc_id").agg(F.max("label").alias("label")).withColumn("fold", fold_of(F.col("doc_id"))).where("fold > 0")
-    learning = known.where("fold > 1").select("doc_id", "label").hint("merge")  # labels grow with the documents
+    learning = known.where("fold > 1").select("doc_id", "label")
     counted = staged(gram_counts(left_join(d, learning, "doc_id")), "grams")
     found = staged(evidence(d, learn(counted), stretch), "evidence")
     sample = thinned(found.join(known.where("fold = 1"), "doc_id").select("doc_id", "whole", "worst", "label"), fit_rows).toPandas()
