@@ -36,11 +36,11 @@ _LETTERS = bytes(1 if 65 <= b <= 90 or 97 <= b <= 122 or b >= 128 else 0 for b i
 _KIND = np.array([0 if b in (9, 10, 11, 12, 13, 32) else 1 if 65 <= b <= 90 else 2 if 97 <= b <= 122 else 3 if 48 <= b <= 57 else 4 if b < 128 else 5 for b in range(256)], np.uint8)
 
 
-def text_view(text: bytes) -> list[float]:
+def text_view(text: bytes) -> list[float] | float:
     """Shares and means about words, characters and lines of a whole text; 0 for none."""
     words = text.split()
     if not words:
-        return [0.0] * TEXT_VIEW
+        return 0.0
     n, size, lines = len(words), len(text), text.split(b"\n")
     kinds = np.bincount(_KIND[np.frombuffer(text, np.uint8)], minlength=6) / size
     lens = np.fromiter(map(len, words), np.int64, n)
@@ -54,12 +54,20 @@ def text_view(text: bytes) -> list[float]:
     ]
 
 
-def meta_view(lang: str | None, source: str | None, size: int) -> list[float]:
-    v = [0.0] * META_VIEW
-    v[xxhash.xxh32_intdigest((lang or "").encode()) % LANGS] = 1.0
-    v[LANGS + xxhash.xxh32_intdigest((source or "").encode()) % SOURCES] = 1.0
-    v[-2], v[-1] = float(np.log1p(size)), float(np.log1p(size)) ** 2
-    return v
+def meta_views(langs: pa.Array, sources: pa.Array, sizes: pa.Array) -> np.ndarray:
+    """A row of indicators and of the logarithm of the size and its square for each document."""
+    out, rows, log = np.zeros((len(langs), META_VIEW), np.float32), np.arange(len(langs)), np.log1p(sizes.to_numpy(zero_copy_only=False).astype(float))
+    for values, first, slots in ((langs, 0, LANGS), (sources, LANGS, SOURCES)):
+        kinds = values.fill_null("").dictionary_encode()
+        of = np.array([xxhash.xxh32_intdigest(v.encode()) % slots for v in kinds.dictionary.to_pylist()], np.int64)
+        out[rows, first + of[kinds.indices.to_numpy()]] = 1.0
+    out[:, -2], out[:, -1] = log, log * log
+    return out
+
+
+def lists(x: np.ndarray) -> pa.Array:
+    """The rows of a matrix as lists."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
 
 
 def views(docs: DataFrame, text_col: str, lang_col: str, source_col: str) -> tuple[DataFrame, list[str]]:
@@ -70,9 +78,11 @@ def views(docs: DataFrame, text_col: str, lang_col: str, source_col: str) -> tup
     def run(batches):
         for batch in batches:
             texts, langs, sources = (batch.column(k) for k in at)
-            t = [text_view(x) for x in text_bytes(texts)]
-            m = [meta_view(*row) for row in zip(langs.to_pylist(), sources.to_pylist(), pc.fill_null(pc.utf8_length(texts), 0).to_pylist())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(v, pa.list_(pa.float32())) for v in (t, m))], [*batch.schema.names, *names])
+            t = np.zeros((len(texts), TEXT_VIEW), np.float32)
+            for k, text in enumerate(text_bytes(texts)):
+                t[k] = text_view(text)
+            m = meta_views(langs, sources, pc.fill_null(pc.utf8_length(texts), 0))
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists(t), lists(m)], [*batch.schema.names, *names])
 
     return map_batches(docs, run, StructType([*docs.schema, *(StructField(n, ArrayType(FloatType())) for n in names)])), names
 

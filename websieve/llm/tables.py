@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 _SCRATCH: dict[str, str] = {}
+BATCH_BYTES = 8 << 20
 
 
 def scratch(spark: SparkSession) -> str:
@@ -61,7 +62,14 @@ def staged(df: DataFrame, tag: str) -> DataFrame:
 
 
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
-    """mapInArrow; Spark bounds a batch by its rows and bytes."""
+    """mapInArrow with batches small enough that many very long texts never meet in memory.
+
+    Spark reads the bound from the session when the plan runs, so it is lowered there for good,
+    but only from Spark's default; a bound that somebody has set stays.
+    """
+    conf = df.sparkSession.conf
+    if conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("bB") in ("67108864", "64m"):
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return df.mapInArrow(fn, schema)
 
 
