@@ -74,13 +74,14 @@ def pieces_of(lengths: DataFrame, largest: int) -> DataFrame:
 
 def grouped(p: DataFrame, group_pieces: int) -> DataFrame:
     """The staged pieces with their group g, by a hash of id and piece, and of the row where ids repeat."""
-    groups = max(1, -(-p.count() // group_pieces))
+    groups, key = F.lit(max(1, -(-p.count() // group_pieces))), F.xxhash64("doc_id", "piece")
+    again = p.groupBy(F.col("doc_id").alias("id2"), F.col("piece").alias("piece2")).agg(F.count(F.lit(1)).alias("times")).where("times > 1")
+    if again.isEmpty():
+        return p.withColumn("g", F.pmod(key, groups))
     # Rows that repeat an id are told apart by the staged file and their place in it, which a task that runs again finds too.
     own = p.select("*", F.xxhash64("_metadata.file_name", "_metadata.row_index").alias("row"))
-    again = p.groupBy(F.col("doc_id").alias("id2"), F.col("piece").alias("piece2")).agg(F.count(F.lit(1)).alias("times")).where("times > 1")
     own = own.join(again, F.col("doc_id").eqNullSafe(F.col("id2")) & (F.col("piece") == F.col("piece2")), "left")
-    key = F.xxhash64("doc_id", "piece")
-    g = F.pmod(F.when(F.col("times").isNull(), key).otherwise(F.xxhash64("doc_id", "piece", "row")), F.lit(groups))
+    g = F.pmod(F.when(F.col("times").isNull(), key).otherwise(F.xxhash64("doc_id", "piece", "row")), groups)
     return own.select(*p.columns, g.alias("g"))
 
 
