@@ -112,12 +112,16 @@ def select_by(store: DataFrame, query: str, ctx: Context | None = None) -> DataF
 
 @dataclass(frozen=True)
 class Pick:
-    """Which rows of a workspace a change is for: all, those of some keys, or of a query."""
+    """Which rows of a workspace a change is for: all, those of some keys, or of a query.
+
+    key is the column that tells a workspace's rows apart; the address unless it may repeat.
+    """
 
     workspace_id: str
     hashes: DataFrame | None = None
     query: str | None = None
     ctx: Context | None = None
+    key: str = "uri_hash"
 
     def mark(self, store: DataFrame) -> DataFrame:
         """store with a boolean column _picked."""
@@ -125,8 +129,8 @@ class Pick:
         if self.query is not None:
             return store.withColumn("_picked", own & F.coalesce(_query_condition(self.query, self.ctx), F.lit(False)))
         if self.hashes is not None:
-            keys = self.hashes.select("uri_hash").distinct().withColumn("_key", F.lit(True))
-            return store.join(keys, "uri_hash", "left").withColumn("_picked", own & F.coalesce("_key", F.lit(False))).select(*store.columns, "_picked")
+            keys = self.hashes.select(self.key).distinct().withColumn("_key", F.lit(True))
+            return store.join(keys, self.key, "left").withColumn("_picked", own & F.coalesce("_key", F.lit(False))).select(*store.columns, "_picked")
         return store.withColumn("_picked", own)
 
 
@@ -137,7 +141,7 @@ def delete(store: DataFrame, pick: Pick) -> DataFrame:
 def copy(store: DataFrame, pick: Pick, target: str) -> DataFrame:
     """Picked rows also appear in the target, unless it has their page already."""
     taken = pick.mark(store).where("_picked").select(*store.columns).withColumn("workspace_id", F.lit(target))
-    new = taken.join(store.where(F.col("workspace_id") == target).select("uri_hash"), "uri_hash", "left_anti")
+    new = taken.join(store.where(F.col("workspace_id") == target).select(pick.key), pick.key, "left_anti")
     return store.unionByName(new.select(*store.columns))
 
 
@@ -171,6 +175,7 @@ class Transform:
     query: str | None = None
     target: str | None = None
     tag: str | None = None
+    key: str = "uri_hash"
 
     def validate(self) -> None:
         if self.action not in ACTIONS:
@@ -194,7 +199,7 @@ def transform(store: DataFrame, t: Transform, ctx: Context | None = None) -> tup
     """The changed store, and how many rows the change picked."""
     t.validate()
     verb, scope = ACTIONS[t.action]
-    pick = Pick(t.workspace_id, t.hashes if scope == "specific" else None, t.query if scope == "query" else None, ctx)
+    pick = Pick(t.workspace_id, t.hashes if scope == "specific" else None, t.query if scope == "query" else None, ctx, t.key)
     affected = pick.mark(store).where("_picked").count()
     if verb == "delete":
         return delete(store, pick), affected
