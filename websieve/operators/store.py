@@ -150,9 +150,9 @@ def move(store: DataFrame, pick: Pick, target: str) -> DataFrame:
     if target == pick.workspace_id:
         return store
     marked = pick.mark(store)
-    there = store.where(F.col("workspace_id") == target).select("uri_hash", F.lit(True).alias("_there"))
+    there = store.where(F.col("workspace_id") == target).select(pick.key)
     kept = marked.where("not _picked").select(*store.columns)
-    moved = marked.where("_picked").join(there, "uri_hash", "left_anti").withColumn("workspace_id", F.lit(target)).select(*store.columns)
+    moved = marked.where("_picked").join(there, pick.key, "left_anti").withColumn("workspace_id", F.lit(target)).select(*store.columns)
     return kept.unionByName(moved)
 
 
