@@ -6,6 +6,7 @@ returns the new set, to be written over the old one partition-wise (``save``).
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
@@ -21,7 +22,7 @@ ORDERS = ("sequence", "updated")
 OWNER, MANAGE, READ, WRITE = 1, 2, 4, 8
 
 
-def upsert(store: DataFrame, incoming: DataFrame, now: Column | None = None) -> DataFrame:
+def upsert(store: DataFrame, incoming: DataFrame, now: Column | None = None, key: Sequence[str] = KEY) -> DataFrame:
     """Incoming rows replace those of their key or are added.
 
     created stays; updated becomes now for new rows and for those whose data hash changed. now
@@ -30,8 +31,8 @@ def upsert(store: DataFrame, incoming: DataFrame, now: Column | None = None) ->
     """
     stamp = now if now is not None else F.lit(datetime.now(timezone.utc))
     old, new = store.alias("o"), incoming.alias("n")
-    on = [F.col(f"o.{k}") == F.col(f"n.{k}") for k in KEY]
-    fresh, known = F.col("n.uri_hash").isNotNull(), F.col("o.uri_hash").isNotNull()
+    on = [F.col(f"o.{k}") == F.col(f"n.{k}") for k in key]
+    fresh, known = F.col(f"n.{key[-1]}").isNotNull(), F.col(f"o.{key[-1]}").isNotNull()
     changed = ~F.col("o.data_hash").eqNullSafe(F.col("n.data_hash"))
     cols = []
     for c in store.columns:
