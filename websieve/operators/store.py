@@ -47,10 +47,11 @@ def upsert(store: DataFrame, incoming: DataFrame, now: Column | None = None, key
     return old.join(new, on, "full_outer").select(*cols)
 
 
-def upsert_visited(visited: DataFrame, fetched: DataFrame, now: Column, days: int = 28) -> DataFrame:
-    """uri_hash, next_fetch: fetched pages (uri_hash) are due again after some days."""
-    due = fetched.select("uri_hash").distinct().withColumn("next_fetch", F.date_add(now, days).cast("timestamp"))
-    return visited.join(due.select("uri_hash"), "uri_hash", "left_anti").select("uri_hash", "next_fetch").unionByName(due)
+def upsert_visited(visited: DataFrame, fetched: DataFrame, now: Column, days: int = 28, key: str = "uri_hash") -> DataFrame:
+    """uri_hash, next_fetch: fetched pages (uri_hash) are due again after some days. A key that tells pages of one address apart is returned too."""
+    cols = list(dict.fromkeys((key, "uri_hash")))
+    due = fetched.select(*cols).distinct().withColumn("next_fetch", F.date_add(now, days).cast("timestamp"))
+    return visited.join(due.select(key), key, "left_anti").select(*cols, "next_fetch").unionByName(due)
 
 
 def upsert_by(store: DataFrame, incoming: DataFrame, *key: str) -> DataFrame:
