@@ -6,6 +6,7 @@ Links are rows source_uri, target_uri, target_ip, can_be_discarded; every step a
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Row
@@ -59,10 +60,13 @@ def early_flags(links: DataFrame, scope: HashRange = HashRange()) -> DataFrame:
     )
 
 
-def needs_visiting(links: DataFrame, visited: DataFrame, now: Column, hash_col: str = "target_hash") -> DataFrame:
-    """Links without those whose next fetch is still to come; unknown links need visiting."""
-    waiting = visited.where(F.col("next_fetch") > now).select(F.col("uri_hash").alias(hash_col))
-    return links.join(waiting, hash_col, "left_anti")
+def needs_visiting(links: DataFrame, visited: DataFrame, now: Column, hash_col: str = "target_hash", also: Sequence[str] = ()) -> DataFrame:
+    """Links without those whose next fetch is still to come; unknown links need visiting.
+
+    also: columns of both that must agree besides the hash, where one address has several rows.
+    """
+    waiting = visited.where(F.col("next_fetch") > now).select(F.col("uri_hash").alias(hash_col), *also)
+    return links.join(waiting, [hash_col, *also], "left_anti")
 
 
 def with_visited(links: DataFrame, visited: DataFrame, now: Column) -> DataFrame:
