@@ -118,12 +118,13 @@ def same_host() -> Column:
     return F.col("source_uri").isNull() | host(F.col("source_uri")).eqNullSafe(host(F.col("target_uri")))
 
 
-def with_chunk_sequence(links: DataFrame, carried: DataFrame | None = None) -> DataFrame:
+def with_chunk_sequence(links: DataFrame, carried: DataFrame | None = None, chunk: str | None = None) -> DataFrame:
     """chunk_sequence: rank within the address by priority, from where the last chunk ended.
 
-    carried: target_ip, chunk_sequence of the address that was served last.
+    carried: target_ip, chunk_sequence of the address that was served last. chunk: a column that
+    tells an address's chunks apart (``windows.chunks``); without it all its links are one chunk.
     """
-    rank = F.row_number().over(Window.partitionBy("target_ip").orderBy("priority", "target_uri")) - 1
+    rank = F.row_number().over(Window.partitionBy("target_ip", *([chunk] if chunk else [])).orderBy("priority", "target_uri")) - 1
     if carried is None:
         return links.withColumn("chunk_sequence", rank)
     start = F.broadcast(carried.limit(1).select("target_ip", F.col("chunk_sequence").alias("_start")))
