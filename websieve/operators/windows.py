@@ -115,9 +115,9 @@ def suppress_repeats(df: DataFrame, leaf, order_col: str = "seq", n: int = CONTE
     return _in_order(df, context_of(leaf), order_col, fresh, False)
 
 
-def recent_distinct(df: DataFrame, value: Column, order_col: str, n: int) -> DataFrame:
-    """Link, address and keyword dedup: rows whose value isn't among the last n new ones."""
-    return distinct_window(df, value, n, order_col)
+def recent_distinct(df: DataFrame, value: Column, order_col: str, n: int | None = None) -> DataFrame:
+    """Link, address and keyword dedup: rows whose value isn't among the last n new ones, or among all without n."""
+    return first_per_value(df, value, order_col) if n is None else distinct_window(df, value, n, order_col)
 
 
 def chunks(df: DataFrame, key: str, order_col: str, size: int = 2000) -> DataFrame:
