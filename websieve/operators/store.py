@@ -95,10 +95,10 @@ def list_results(store: DataFrame, workspace_id: str, *, order: str = "sequence"
 
 
 def random_results(store: DataFrame, workspace_id: str, above: float, count: int) -> DataFrame:
-    """Rows whose stored random number exceeds a value, in its order; there may be too few."""
+    """Rows whose stored random number exceeds a value, in its order and that of their sequence; there may be too few."""
     if not 1 <= count <= 1000:
         raise InvalidRequest("count must be from 1 to 1000")
-    return store.where((F.col("workspace_id") == workspace_id) & (F.col("random") > above)).orderBy("random").limit(count)
+    return store.where((F.col("workspace_id") == workspace_id) & (F.col("random") > above)).orderBy("random", "sequence").limit(count)
 
 
 def _query_condition(query: str, ctx: Context | None) -> Column:
