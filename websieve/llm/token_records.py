@@ -24,6 +24,7 @@ import struct
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +35,15 @@ from .tables import attempt_name, keyed, make_folder, map_batches, new_folder, o
 
 #: Fixed value: what the mask adds to a rotated checksum.
 MASK_DELTA = 0xA282EAD8
-#: Marks that the pre-tokenizer cuts off a word, and the last letter of long-settled Latin script.
-MARKS, LAST_LATIN = ".,;:!?", "\u024f"
+#: ASCII bytes: visible ones, letters and digits, and marks.
+SEEN = np.zeros(256, bool)
+SEEN[33:127] = True
+WORDY = np.zeros(256, bool)
+WORDY[[b for b in range(128) if chr(b).isalnum()]] = True
+MARK = SEEN & ~WORDY
+#: UTF-8 of other characters that are, or have been, white space: by their last two and last three bytes.
+SPACES = [c.encode() for c in map(chr, range(128, 0xD800)) if c.isspace() or c == "\u180e"]
+SPACES_2, SPACES_3 = ([int.from_bytes(c) for c in SPACES if len(c) == n] for n in (2, 3))
 
 
 def masked(data: bytes) -> int:
@@ -72,11 +80,6 @@ def unpack(payload: bytes) -> tuple[int | None, np.ndarray]:
     return doc_id if known else None, np.frombuffer(payload, f"<u{width}", offset=10).astype("<u4")
 
 
-def _open_ended(piece: str) -> bool:
-    """Whether white space at an end could belong to a longer run in the text."""
-    return not piece or piece[0].isspace() or piece[-1].isspace()
-
-
 def cuttable(spec: dict) -> bool:
     """Whether a tokenizer's file describes what Encoder's cuts rely on."""
     pre, post, model = spec.get("pre_tokenizer") or {}, spec.get("post_processor") or {"type": "ByteLevel"}, spec.get("model") or {}
@@ -84,123 +87,155 @@ def cuttable(spec: dict) -> bool:
     return plain and pre.get("type") == post["type"] == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and model.get("type", "BPE") == "BPE"
 
 
+def cuts_of(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Where pieces of UTF-8 begin that the usual pre-tokenizer never joins: at the starts of texts and
+
+    * at a space or line feed after a character that isn't white space: of its tokens, only
+      ``\\s+`` and the one space before a word hold white space, and both begin with it;
+    * at an ASCII mark after an ASCII letter or digit, or one of the letters U+00C0 to U+00FF:
+      no token goes on from a letter or a digit to a mark.
+
+    A token that begins at such a place doesn't depend on what is before it, and what is
+    after a piece matters only to white space at its end, which is there in a text's last only.
+    """
+    gap = np.flatnonzero((data == 32) | (data == 10))
+    before = data[gap - 1]
+    cut = SEEN[before]
+    far = np.flatnonzero(before > 127)
+    at = gap[far]
+    two = data[at - 2].astype(np.int32) << 8 | before[far]
+    cut[far] = ~(np.isin(two, SPACES_2) | np.isin(data[at - 3].astype(np.int32) << 16 | two, SPACES_3))
+    begins = np.zeros(len(data), bool)
+    begins[gap[cut]] = True
+    mark = np.flatnonzero(MARK[data])
+    before = data[mark - 1]
+    cut = WORDY[before]
+    far = np.flatnonzero(before > 127)
+    cut[far] = (data[mark[far] - 2] == 0xC3) & (before[far] != 0x97) & (before[far] != 0xB7)
+    begins[mark[cut]] = True
+    begins[starts] = True
+    return np.flatnonzero(begins)
+
+
+def gathered(pool: np.ndarray, at: np.ndarray, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """pool[at[s] : at[s + 1]] of each slot s in one array, and how many these are."""
+    first = at[slots]
+    n = at[slots + 1] - first
+    index = np.repeat(first - np.cumsum(n) + n, n)
+    index += np.arange(len(index))
+    return pool[index], n
+
+
 class Encoder:
-    """The library's ids of whole texts, with a memory of pieces, emptied when it has grown too large.
+    """The library's ids of whole texts, with a memory of pieces; of a memory that has grown too
+    large, in pieces or in ids, only what the last block of pieces needed is kept.
 
     Whole texts go to the library unless its file names a byte-level BPE with the usual
     pre-tokenizer (``cuttable``), and so does a text that holds a string of an added token; with
     ``special_as_text`` the strings of special tokens are ordinary text.
 
-    For all others: the pre-tokenizer always cuts before a single space between two characters that aren't
-    white space, so texts can be encoded piece by piece at such spaces and equal pieces have
-    equal ids. It also keeps a space with the letters after it whole, and cuts before a mark
-    that follows them; so new words of Latin letters, with or without such a mark, can go to the
-    library in one string. All other new pieces go through it one by one.
+    All others are cut where that pre-tokenizer always cuts (``cuts_of``), so equal pieces have
+    equal ids, and only pieces that the memory lacks go to the library. Short ones go many in one
+    string if each has its only white space, a space or a line feed, in front: such a string
+    is cut between them, and only the first id of each begins with white space.
     """
 
-    SAFE = re.compile(r"(?<=\S) (?=\S)")
+    JOINED = re.compile(r"[ \n][^\s\u180e]{1,64}").fullmatch
 
-    def __init__(self, path: str, remember: int = 1_000_000, special_as_text: bool = False):
+    def __init__(self, path: str, remember: int = 1_000_000, special_as_text: bool = False, block: int = 1 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = special_as_text
         spec = json.loads(self.tokenizer.to_str())
-        self.added = [t["content"] for t in spec.get("added_tokens") or [] if not (special_as_text and t["special"])]
+        self.added = [t["content"].encode() for t in spec.get("added_tokens") or [] if not (special_as_text and t["special"])]
         self.cuts = cuttable(spec)
         if not self.cuts:
             return
-        self.remember, self.memory, self.heads = remember, {}, {}
-        space = self.tokenizer.encode(" ", add_special_tokens=False).tokens[0]
+        self.remember, self.block = remember, block
+        self.memory, self.pool, self.at = {}, np.zeros(0, "<u4"), np.zeros(1, np.int64)  # a piece's slot, all ids, where a slot's begin
+        front = tuple(self.tokenizer.encode(c, add_special_tokens=False).tokens[0] for c in " \n")
         vocabulary = self.tokenizer.get_vocab()
-        self.starts = np.zeros(max(vocabulary.values()) + 1, bool)  # which ids begin with a space
-        self.starts[[i for t, i in vocabulary.items() if t.startswith(space)]] = True
-        self.marks = {m: self._ids([m])[0] for m in MARKS}
-        self.feed = self._ids(["\n"])[0]
-
-    def _ids(self, pieces: list[str]) -> list[bytes]:
-        encoded = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
-        return [array("I", e.ids).tobytes() for e in encoded]
-
-    def _words(self, words: list[str]) -> list[bytes]:
-        """The ids of words of letters, each after a space; one call for all of them.
-
-        Only the first id of such a word begins with a space, so the ids fall apart there.
-        """
-        ids = np.frombuffer(self._ids(["".join([" " + w for w in words])])[0], "<u4")
-        cut = [4 * k for k in np.flatnonzero(self.starts[ids]).tolist()] + [4 * len(ids)]
-        data = ids.tobytes()
-        return [data[a:b] for a, b in zip(cut, cut[1:])]
-
-    def _learn(self, pieces: set[str]) -> None:
-        """Remember the ids of pieces that follow a space."""
-        memory, words, marked, other = self.memory, [], [], []
-        for p in pieces:
-            w = p[:-1] if p[-1] in self.marks else p
-            if not (w.isalpha() and (w.isascii() or max(w) <= LAST_LATIN)):
-                other.append(p)
-            elif w is p:
-                words.append(p)
-            else:
-                marked.append(p)
-        words += {p[:-1] for p in marked}.difference(memory, words)
-        if words:
-            memory.update(zip(words, self._words(words)))
-        memory.update((p, memory[p[:-1]] + self.marks[p[-1]]) for p in marked)
-        if other:
-            memory.update(zip(other, self._ids([" " + p for p in other])))
+        self.starts = np.zeros(max(vocabulary.values()) + 1, bool)  # which ids begin with a space or a line feed
+        self.starts[[i for t, i in vocabulary.items() if t.startswith(front)]] = True
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.frombuffer(array("I", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids), "<u4")
+
+    def _learn(self, pieces: list[str], together: int = 500) -> np.ndarray:
+        """Remember the ids of new pieces; the slots they get."""
+        fits = [self.JOINED(p) is not None for p in pieces]
+        joined, other = list(compress(pieces, fits)), [p for p, f in zip(pieces, fits) if not f]
+        parts, sizes = [], []
+        for k in range(0, len(joined), together):
+            ids = self._ids("".join(joined[k : k + together]))
+            parts.append(ids)
+            sizes.append(np.diff(np.flatnonzero(self.starts[ids]), append=len(ids)))
+            if len(sizes[-1]) != len(joined[k : k + together]):
+                raise ValueError("joined pieces don't fall apart again")
+        apart = list(map(self._ids, other))
+        ends = np.cumsum(np.concatenate([*sizes, [len(ids) for ids in apart]]), dtype=np.int64)
+        base, fits = len(self.at) - 1, np.array(fits)
+        slots = base + np.where(fits, np.cumsum(fits) - 1, len(joined) + np.cumsum(~fits) - 1)
+        self.memory.update(zip(pieces, slots.tolist()))
+        self.at = np.concatenate([self.at, ends + len(self.pool)])
+        self.pool = np.concatenate([self.pool, *parts, *apart])
+        return slots
+
+    def _pieces(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, where the ids of each text end) of texts without added tokens; the starts of the
+        texts in their joint UTF-8 end with its length."""
+        cuts = cuts_of(data, starts[:-1][starts[:-1] < len(data)])
+        bounds, parts, sizes = np.append(cuts, len(data)), [], [np.zeros(1, np.int64)]
+        for k in range(0, len(cuts), self.block):
+            offsets = bounds[k : k + self.block + 1]
+            words = pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
+            names = words.dictionary.cast(pa.large_string()).to_numpy(zero_copy_only=False).tolist()
+            slots = np.fromiter(map(self.memory.get, names, repeat(-1)), np.int64, len(names))
+            new = np.flatnonzero(slots < 0)
+            if len(new):
+                slots[new] = self._learn([names[i] for i in new.tolist()])
+            ids, n = gathered(self.pool, self.at, slots[words.indices.to_numpy()])
+            parts.append(ids)
+            sizes.append(n)
+            if len(self.memory) > self.remember or len(self.pool) > 8 * self.remember:
+                self.pool, n = gathered(self.pool, self.at, slots)
+                self.memory, self.at = dict(zip(names, range(len(names)))), np.append(0, np.cumsum(n))
+        ends = np.cumsum(np.concatenate(sizes))
+        return np.concatenate([np.zeros(0, "<u4"), *parts]), ends[np.searchsorted(cuts, starts[1:])]
+
+    def rows(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, where the ids of each text end) of whole texts; a null is empty."""
+        texts = texts.fill_null("").cast(pa.large_string()).cast(pa.large_binary())
+        if not len(texts):
+            return np.zeros(0, "<u4"), np.zeros(0, np.int64)
+        _, offsets, held = texts.buffers()
+        starts = np.frombuffer(offsets, np.int64, len(texts) + 1, 8 * texts.offset)
+        data = np.frombuffer(held or b"", np.uint8)[starts[0] : starts[-1]]
+        starts = starts - starts[0]
+        joint, whole = data.tobytes(), range(len(texts))
+        if self.cuts:
+            found = [a for a in self.added if a in joint]
+            whole = [k for k in whole if any(a in joint[starts[k] : starts[k + 1]] for a in found)] if found else []
+        parts, ends, done, first = [], [], 0, 0
+        for k in [*whole, len(texts)]:  # the texts before each of these are cut together
+            if first < k:
+                ids, stops = self._pieces(data[starts[first] : starts[k]], starts[first : k + 1] - starts[first])
+                parts.append(ids)
+                ends.append(done + stops)
+                done += len(ids)
+            if k < len(texts):
+                parts.append(self._ids(joint[starts[k] : starts[k + 1]].decode()))
+                done += len(parts[-1])
+                ends.append([done])
+            first = k + 1
+        return np.concatenate(parts), np.concatenate(ends)
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """The ids of each whole text as little-endian u32."""
-        if not self.cuts:
-            return self._ids(texts)
-        whole = {k for k, t in enumerate(texts) if any(a in t for a in self.added)}
-        if not whole:
-            return self._pieces(texts)
-        ids = iter(self._pieces([t for k, t in enumerate(texts) if k not in whole]))
-        return [self._ids([t])[0] if k in whole else next(ids) for k, t in enumerate(texts)]
-
-    def _pieces(self, texts: list[str]) -> list[bytes]:
-        """The ids of texts without added tokens, piece by piece.
-
-        A line feed between two characters that aren't white space stands alone, so lines are
-        encoded on their own; a text with other neighbours of line feeds, or with double
-        spaces, is only cut where SAFE says.
-        """
-        if len(self.memory) + len(self.heads) > self.remember:
-            self.memory.clear()
-            self.heads.clear()
-        rows, new, starts, get, heads = [], set(), set(), self.memory.get, self.heads
-        for t in texts:
-            lines = []
-            for line in t.split("\n") if t else ():
-                first, *rest = line.split(" ")
-                ids = list(map(get, rest))
-                full = all(ids)  # no piece has no ids
-                if not full:
-                    new.update([p for p, i in zip(rest, ids) if i is None])
-                if first not in heads:
-                    starts.add(first)
-                lines.append((first, rest, ids, full))
-            rows.append(lines)
-        bad, odd, loose = set(filter(_open_ended, new | starts)), {}, set()
-        if bad:
-            odd = {k: self.SAFE.split(t) for k, (t, lines) in enumerate(zip(texts, rows)) if any(first in bad or not (full or bad.isdisjoint(rest)) for first, rest, _, full in lines)}
-            loose = {" " + p for parts in odd.values() for p in parts[1:] if _open_ended(p)} | {parts[0] for parts in odd.values()}
-            new.update(p for parts in odd.values() for p in parts[1:] if p not in self.memory and not _open_ended(p))
-        self._learn(new - bad)
-        starts = list(starts - bad)
-        heads.update(zip(starts, self._ids(starts)))
-        loose = list(loose)
-        apart = dict(zip(loose, self._ids(loose)))
-        out, feed, get = [], self.feed, self.memory.__getitem__
-        for k, lines in enumerate(rows):
-            if k in odd:
-                out.append(b"".join([apart[odd[k][0]], *(apart[" " + p] if _open_ended(p) else get(p) for p in odd[k][1:])]))
-            else:
-                out.append(feed.join([heads[first] + b"".join(ids if full else map(get, rest)) for first, rest, ids, full in lines]))
-        return out
+        ids, ends = self.rows(pa.array(texts, pa.large_string()))
+        return [ids[a:b].tobytes() for a, b in zip([0, *ends.tolist()], ends.tolist())]
 
     def encode(self, text: str) -> bytes:
         return self.encode_all([text])[0]
@@ -215,19 +250,14 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def encoded(batches, enc: Encoder, chunk: int = 1 << 18) -> Iterator[tuple[int | None, bytes]]:
-    """(id, ids) of each row, some texts at a time: enough for one call of the library to encode
-    many new words, and few enough for their pieces to stay in the processor's cache."""
+def encoded(batches, enc: Encoder) -> Iterator[tuple[int | None, np.ndarray]]:
+    """(id, ids) of each row."""
     for batch in batches:
-        keys, texts, held = [], [], 0
-        for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            keys.append(key)
-            texts.append(text or "")
-            held += len(texts[-1])
-            if held >= chunk:
-                yield from zip(keys, enc.encode_all(texts))
-                keys, texts, held = [], [], 0
-        yield from zip(keys, enc.encode_all(texts))
+        ids, ends = enc.rows(batch.column(1))
+        start = 0
+        for key, end in zip(batch.column(0).to_pylist(), ends.tolist()):
+            yield key, ids[start:end]
+            start = end
 
 
 MANIFEST = "part int, seq int, file string, records long, tokens long"
@@ -242,7 +272,7 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "d
     """
     spark = docs.sparkSession
     make_folder(folder)
-    tail = np.array([end_id], "<u4").tobytes()
+    tail = np.array([end_id], "<u4")
 
     def run(batches):
         from pyspark import TaskContext
@@ -261,11 +291,11 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "d
                 name = f"{folder}/{attempt_name('ids')}-{seq:04d}"
                 fs, path = open_path(name)
                 out = [fs.open_output_stream(f"{path}.rec", buffer_size=1 << 20), [0], name, 0, fs, path]
-            ids += tail
-            data = frame(pack(doc_id, np.frombuffer(ids, "<u4")))
+            ids = np.concatenate([ids, tail])
+            data = frame(pack(doc_id, ids))
             out[0].write(data)
             out[1].append(out[1][-1] + len(data))
-            out[3] += len(ids) // 4
+            out[3] += len(ids)
             if out[1][-1] >= shard_bytes:
                 close()
                 seq, out = seq + 1, None
